@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _powers(base: int, size: int) -> np.ndarray:
     out = np.full(size, base, U64)
     out[:1] = 1
@@ -43,7 +43,7 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64, and of its inverse."""
-    size = 1 << max(16, int(n).bit_length())
+    size = -(-max(n, 1) // (1 << 19)) << 19
     return _powers(base, size)[:n], _powers(pow(base, -1, 1 << 64), size)[:n]
 
 

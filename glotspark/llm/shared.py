@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,13 @@ def checkpointed(df):
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more. It does
+    so when the driver's JVM collects their handles, which may be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def laid_out(df, key: str):
     """df hash partitioned by key in the shared folder, so that a later grouping
     by key reads its partitions where they are. Adaptive planning is off for

@@ -199,6 +199,7 @@ class Slabs:
                 yield pa.record_batch({"slab": pa.array([at + k], pa.int64()), "n_bytes": pa.array([int(text_bytes(table["text"])[1][-1])], pa.int64()), "payload": pa.array([_frozen(table)], pa.binary())})
 
         self.rows = shared.laid_out(docs.select(*columns).mapInArrow(pack, SLAB), "slab")
+        shared.release(self.spark)
         self.parts = 4 * n
         self.answers: DataFrame | None = None
 
@@ -222,12 +223,20 @@ class Slabs:
 
         return self.rows.groupBy("slab").cogroup(self.answers.groupBy("slab")).applyInArrow(both, schema)
 
+    def buckets(self, n: int) -> list[tuple[int, int]]:
+        """n ranges of parts, for rounds that take one bucket of keys at a time."""
+        edges = [self.parts * i // n for i in range(n + 1)]
+        return list(zip(edges[:-1], edges[1:], strict=True))
+
     def ask(self, work: Callable) -> None:
-        """A round: work(number, slab, answers, parts) yields rows of SENT."""
+        """A round: work(number, slab, answers, parts) yields rows of SENT. When
+        it has ended, its shuffle files can go."""
         parts = self.parts
         sent = self._with_answers(lambda no, slab, answers: sent_table(list(work(no, slab, answers, parts))), SENT)
         got = shared.checkpointed(sent.groupBy("part").applyInArrow(_resolved, ANSWER))
         self.answers = got if self.answers is None else self.answers.unionByName(got)
+        del sent, got
+        shared.release(self.spark)
 
     def finish(self, work: Callable, schema: str) -> DataFrame:
         """work(number, slab, answers) gives the result rows of a slab."""

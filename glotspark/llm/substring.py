@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from glotspark.llm.kernels import BYTE_BASE, BYTE_CODES, U64, WORD_BASE, Words, mix, prefix_hash, range_hash, runs
-from glotspark.llm.slabs import Answers, Keys, Slab, Slabs, blobs
+from glotspark.llm.slabs import Answers, Keys, Slab, Slabs, blobs, part_of
 
 #: Perfect and near perfect difference covers, by period.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 6, 8, 18), 31: (0, 1, 3, 8, 12, 18)}
@@ -79,8 +79,9 @@ class _Units:
         at, row = at[fit], row[fit]
         return at, row, Keys(self.keys(at, length), row)
 
-    def windows(self, skip: np.ndarray, answers: Answers, window: int, period: int) -> tuple[np.ndarray, np.ndarray, Keys]:
-        """Starts of the windows that hold a repeated anchor."""
+    def windows(self, skip: np.ndarray, answers: Answers, window: int, period: int, bucket: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, Keys]:
+        """Starts of the windows that hold a repeated anchor; with a bucket, of
+        those only whose keys fall in that range of parts."""
         at, row, keys = self.anchors(skip, window, period)
         again = (answers.of(ANCHORS, keys) | (keys.counts > 1))[keys.of]
         at, row = at[again], row[again]
@@ -88,8 +89,13 @@ class _Units:
         high = np.minimum(at, self.first[row + 1] - window) + 1
         some = high > low
         start = np.flatnonzero(_covered(low[some], high[some], self.n))
+        keys = self.keys(start, window)
+        if bucket:
+            part = part_of(keys, answers.parts)
+            inside = (part >= U64(bucket[0])) & (part < U64(bucket[1]))
+            start, keys = start[inside], keys[inside]
         row = self.row_of(start)
-        return start, row, Keys(self.keys(start, window), row)
+        return start, row, Keys(keys, row)
 
     def removed(self, answers: Answers, window: int, period: int, within: bool) -> np.ndarray:
         copy = self.is_copy(answers)
@@ -136,7 +142,7 @@ def cut_bytes(data: np.ndarray, offs: np.ndarray, mask: np.ndarray, kind: pa.Dat
     return pa.Array.from_buffers(kind, len(offs) - 1, [None, pa.py_buffer(sums), pa.py_buffer(np.ascontiguousarray(data[mask]))])
 
 
-def _rounds(slabs: Slabs, kind: str, window: int, period: int) -> None:
+def _rounds(slabs: Slabs, kind: str, window: int, period: int, buckets: int) -> None:
     if window < period:
         raise ValueError("a window must be at least as long as the period")
 
@@ -147,19 +153,22 @@ def _rounds(slabs: Slabs, kind: str, window: int, period: int) -> None:
         units = _Units(slab, kind)
         yield from blobs(no, ANCHORS, units.anchors(units.is_copy(answers), window, period)[2], parts, None)
 
-    def windows(no, slab, answers, parts):
-        units = _Units(slab, kind)
-        yield from blobs(no, WINDOWS, units.windows(units.is_copy(answers), answers, window, period)[2], parts, slab.ids)
+    slabs.ask(copies)
+    slabs.ask(anchors)
+    for bucket in slabs.buckets(buckets):
+
+        def windows(no, slab, answers, parts, bucket=bucket):
+            units = _Units(slab, kind)
+            yield from blobs(no, WINDOWS, units.windows(units.is_copy(answers), answers, window, period, bucket)[2], parts, slab.ids)
 
-    for work in (copies, anchors, windows):
-        slabs.ask(work)
+        slabs.ask(windows)
 
 
 def _ids(slab: Slab) -> pa.ChunkedArray:
     return slab.table["doc_id"]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, period: int = 13) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, period: int = 13, buckets: int = 1) -> DataFrame:
     """Removes each word that a run of ``window`` words covers which also starts
     earlier (in a document with a smaller id, or before in the same document).
 
@@ -167,7 +176,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text (kept words joined by one space). See the module for edge cases.
     """
     slabs = Slabs(docs, id_col, text_col)
-    _rounds(slabs, "word", window, period)
+    _rounds(slabs, "word", window, period, buckets)
 
     def result(no, slab, answers):
         units = _Units(slab, "word")
@@ -178,19 +187,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return slabs.finish(result, f"doc_id long, n_words long, n_removed long, spans {SPANS}, text string")
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, period: int = 31) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, period: int = 31, buckets: int = 3) -> DataFrame:
     """Removes each byte that a string of ``window`` bytes covers which also
     starts in a document with a smaller id.
 
     The suffixes that can tie with another for ``window`` bytes are known from
-    the ranks (equal or not) of the cover sample; only they are sorted, one
-    bucket of suffixes at a time, so no task holds more than its bucket.
+    the ranks (equal or not) of the cover sample; only they are sorted, one of
+    ``buckets`` buckets of suffixes at a time, each in ranges that a task holds,
+    so that memory and shuffle files stay bounded by a bucket.
 
     Returns doc_id, n_bytes, n_removed, spans (of removed bytes) and content
     (the remaining bytes). See the module for edge cases.
     """
-    slabs = Slabs(docs, id_col, text_col)
-    _rounds(slabs, "byte", window, period)
+    slabs = Slabs(docs, id_col, text_col, slab_bytes=2 << 20)
+    _rounds(slabs, "byte", window, period, buckets)
 
     def result(no, slab, answers):
         gone = _Units(slab, "byte").removed(answers, window, period, False)
