@@ -15,7 +15,10 @@ columns are ignored. Runs agree.
 
 from __future__ import annotations
 
+import itertools
 import math
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,41 +32,86 @@ from glotspark.llm.kernels import in_slabs
 from glotspark.llm.shared import checkpointed
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, repeat long"
-MEMO_SIZE, MEMO_WORD = 300_000, 40
-_memo: dict[str, dict[str, bytes]] = {}
-_loaded: dict[str, object] = {}
+LOWER = bytes(range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
+ENDING = re.compile(rb"[a-z0-9][.,]$")
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
-        import os
+class Encoder:
+    """Ids, little-endian and 32 bits each, by a tokenizer that lowers case and
+    drops white space, so that what stands between blanks can be encoded by
+    itself and remembered.
 
+    Words of letters are encoded many at a time: of a word's tokens only the
+    last has the suffix for word ends. A full stop or comma after a letter or
+    digit is a token of its own. Two generations of words are remembered, at
+    most ``2 * room``; a word in use moves to the younger one.
+    """
+
+    def __init__(self, path: str, room: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
+        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.stops = {w: self._alone([w.decode()])[0] for w in (b".", b",")}
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                out += [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            else:
+                out += self._alone(some)
+        return out
+
+    def _learn(self, missing: set[bytes]) -> None:
+        kept = {w: self.old[w] for w in missing if w in self.old}
+        self.young |= kept
+        missing -= kept.keys()
+        stopped = {w for w in missing if ENDING.search(w)}
+        plain = [w.decode("utf-8", "replace") for w in (missing - stopped) | {w[:-1] for w in stopped if w[:-1] not in self.young}]
+        for some, encode in (([w for w in plain if w.isalpha()], self._words), ([w for w in plain if not w.isalpha()], self._alone)):
+            self.young.update(zip((w.encode() for w in some), encode(some), strict=True))
+        for w in stopped:
+            self.young[w] = self.young[w[:-1]] + self.stops[w[-1:]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > self.room:
+            self.young, self.old = {}, self.young
+        cut = [t.encode("utf-8", "replace").translate(LOWER).split() for t in texts]
+        missing: set[bytes] = set()
+        for words in cut:
+            missing.update(itertools.filterfalse(self.young.__contains__, words))
+        if missing:
+            self._learn(missing)
+        out = [b"".join(map(self.young.__getitem__, words)) for words in cut]
+        for i, t in enumerate(texts):
+            if "<" in t and any(s in t.lower() for s in self.special):
+                out[i] = self._alone([t])[0]
+        for w in missing:
+            if len(w) > 64:
+                self.young.pop(w, None)
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text, little-endian and 32 bits each.
-
-    For tokenizers that cut at white space and drop it: what stands between
-    blanks is encoded by itself, and remembered while the memo has room."""
-    memo = _memo.setdefault(path, {})
-    cut = [t.replace("\n", " ").split(" ") for t in texts]
-    missing = list({w for words in cut for w in words if w not in memo})
-    if len(memo) + len(missing) > MEMO_SIZE:
-        memo.clear()
-        missing = list({w for words in cut for w in words})
-    found = _tokenizer(path).encode_batch(missing, add_special_tokens=False)
-    fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, found, strict=True)}
-    memo |= fresh
-    out = [b"".join(map(memo.__getitem__, words)) for words in cut]
-    for w in fresh:
-        if len(w) > MEMO_WORD:
-            del memo[w]
-    return out
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(texts)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
