@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotspark.llm import langid, lines, mixing, packing, substring, topk, toxicity
+from glotspark.llm import langid, lines, mixing, packing, simhash, substring, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOLD = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.probe(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels", "doc_id", "toxic").filter(FOLD != 0))
@@ -75,5 +79,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("content", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op4_substring_dedup, op6_toxicity, op7_language_id, op8_line_dedup, op9_top_k, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op4_substring_dedup, op5_simhash, op6_toxicity, op7_language_id, op8_line_dedup, op9_top_k, op10_suffix_dedup)}
 ORACLES = {"op9_top_k": OP9_SQL}
