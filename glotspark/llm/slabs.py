@@ -238,6 +238,17 @@ class Slabs:
         del sent, got
         shared.release(self.spark)
 
+    def meet(self, rows: DataFrame, work: Callable, schema) -> DataFrame:
+        """work(number, slab, rows of that slab) gives a table; rows have a
+        column slab. Slabs aren't moved; those without rows give nothing."""
+
+        def both(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return work(0, None, right)
+            return work(left["slab"][0].as_py(), Slab(left["payload"][0].as_py()), right)
+
+        return self.rows.groupBy("slab").cogroup(rows.groupBy("slab")).applyInArrow(both, schema)
+
     def finish(self, work: Callable, schema: str) -> DataFrame:
         """work(number, slab, answers) gives the result rows of a slab."""
         return self._with_answers(work, schema)
