@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,3 +49,13 @@ def laid_out(df, key: str):
         return checkpointed(df.repartition(n, key))
     finally:
         spark.conf.set(name, before)
+
+
+def written(df):
+    """df as Parquet in the shared folder, read again."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    release(spark)
+    return spark.read.parquet(path)
