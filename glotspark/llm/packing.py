@@ -10,7 +10,7 @@ about one sequence partly filled.
 
 Defined results: a null text is empty and gives the end token alone; repeated
 rows are documents of their own; an empty table gives an empty result; other
-columns are ignored. Runs agree.
+columns are ignored. Runs over the same partitions agree.
 """
 
 from __future__ import annotations

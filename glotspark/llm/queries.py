@@ -32,7 +32,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-FOLD = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+#: Rows of the held-out fold, and those to learn from.
+HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, false)"
+LEARNED = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,16 +43,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    model = toxicity.learn(docs, _table(spark, sf_dir, "labels", "doc_id", "toxic").filter(FOLD != 0))
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels", "doc_id", "toxic").filter(LEARNED))
     found = toxicity.score(docs, model)
-    return found.select("doc_id", F.coalesce(FOLD == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    model = langid.learn(docs.filter(FOLD != 0))
+    model = langid.learn(docs.filter(LEARNED))
     found = langid.identify(docs, model)
-    return found.select("doc_id", F.coalesce(FOLD == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glotspark.llm import lines, mixing, near, packing, toxicity
 from glotspark.llm.kernels import Words, text_bytes
-from glotspark.llm.queries import FOLD
+from glotspark.llm.queries import LEARNED
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,7 +26,7 @@ def _documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5, unchanged. The labels of the
     learning folds train the scores."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(FOLD != 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(LEARNED)
     model = toxicity.learn(docs, labels)
     keep = tuple(c for c in docs.columns if c != "doc_id")
     return toxicity.score(docs, model, keep=keep).filter("score < 0.5").select(*(F.col(f"`{c}`") for c in docs.columns))
