@@ -31,8 +31,9 @@ def translate_words(df: DataFrame, glossary: DataFrame, keys: list[str], text_co
     met = words.join(glossary.select(F.col("src").alias("s"), "tgt"), F.col("w") == F.col("s"), "left")
     placed = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("tgt", "w").alias("v"))))
     done = met.groupBy(*keys).agg(F.array_join(F.transform(placed, lambda x: x["v"]), " ").alias(out))
-    same = [df[k].eqNullSafe(done[k]) for k in keys]
-    return df.join(done, same, "left").select(*(df[c] for c in df.columns), done[out])
+    done = done.select(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)), out)
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    return df.join(done, same, "left").select(*df.columns, out)
 
 
 def translator_udf(backend: Translator):
@@ -76,7 +77,9 @@ def translate_documents(docs: DataFrame, backend: Translator, keys: list[str], t
 
 
 def pivot(df: DataFrame, backend: Translator, source: Column | str, target: Column | str, text_col: str = "text", middle: str = "en") -> DataFrame:
-    """By way of a middle language, which stays as a column of that name. Both
-    steps run in one Python stage."""
+    """By way of a middle language, which stays as a column of that name. The
+    steps aren't fused: as one stage the first would run twice, once for the
+    column and once for the second step, and the model costs far more than a
+    pass through Arrow."""
     first = translate(df, backend, text_col, source, middle, middle)
     return translate(first, backend, middle, middle, target, "translated")
