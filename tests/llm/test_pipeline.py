@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ def folder(spark, tmp_path_factory):
     """Documents with nulls, copies, near copies and toxic texts; labels."""
     path = str(tmp_path_factory.mktemp("tables"))
     rows = [r[:4] for r in fx.documents()]
-    rows += [(1000 + i, f"mild words {i} of no harm " * 3 + ("grumbol snarkel vexipod " * 2 if i % 2 else "kind and plain"), "en", "a") for i in range(120)]
+    rng = random.Random(8)
+    mild = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(rng.randint(12, 30)))
+    rows += [(1000 + i, mild() + (" grumbol snarkel vexipod grumbol " if i % 4 == 0 else " plain ") + mild(), "en", "a") for i in range(240)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
     docs.repartition(3).write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame([(1000 + i, 1, i % 2) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1000 + i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
 
