@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from glotspark.llm.shared import checkpointed
 
 
+def _handed(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Each edge (a, b) as (b, least of a)."""
+    met = edges.join(least, F.col("a") == F.col("k"))
+    return met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a long, b long. Returns node and root, the least node that links
     reach, for every node of an edge.
@@ -21,9 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _handed(both.filter("b > a"), least)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = _handed(large, low.withColumnRenamed("a", "k"))
         after = checkpointed(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         then = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         now, done, mark = after, then == mark, then
@@ -31,3 +37,23 @@ def components(edges: DataFrame) -> DataFrame:
             break
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def candidates(keyed: DataFrame, tile: int) -> DataFrame:
+    """keyed: cid and key, many keys for each cid. Ties each bucket of equal keys
+    to its least member and returns, for every cid that shares a bucket: node,
+    root (its component), tiles (of about ``tile`` members each) and t (its own)."""
+    tied = keyed.groupBy("key").agg(F.min("cid").alias("b"), F.max("cid").alias("c")).filter("b < c").select(F.col("key").alias("k"), "b")
+    ties = keyed.join(tied, F.col("key") == F.col("k")).filter("cid <> b").select(F.col("cid").alias("a"), "b")
+    found = components(ties)
+    sizes = found.groupBy("root").agg(F.count("*").alias("m")).withColumnRenamed("root", "r")
+    found = found.join(sizes, F.col("root") == F.col("r")).withColumn("tiles", F.ceil(F.col("m") / tile))
+    return found.select("node", "root", "tiles", F.pmod(F.xxhash64("node"), "tiles").alias("t"))
+
+
+def in_tiles(members: DataFrame) -> DataFrame:
+    """Members (with root, tiles and t) for each pair of tiles (i, j), i <= j, that
+    they belong to. side: 0 in a tile with itself, else 1 for rows, 2 for columns."""
+    other = members.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    side = F.when(F.col("t") == F.col("o"), 0).when(F.col("t") < F.col("o"), 1).otherwise(2)
+    return other.withColumns({"i": F.least("t", "o"), "j": F.greatest("t", "o"), "side": side}).drop("tiles", "t", "o")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glotspark.llm.graph import components
+from glotspark.llm.graph import candidates, components, in_tiles
 from glotspark.llm.kernels import NULL_ID, U64, WORD_BASE, Words, mix, prefix_hash, range_hash
 from glotspark.llm.shared import checkpointed
 from glotspark.llm.slabs import Slab, Slabs
@@ -164,14 +164,7 @@ class NearDuplicates:
         self._link(gram, threshold, tile)
 
     def _link(self, gram: int, threshold: float, tile: int) -> None:
-        spread = self.classes.select("cid", F.explode("bands").alias("key"))
-        tied = spread.groupBy("key").agg(F.min("cid").alias("b"), F.max("cid").alias("c")).filter("b < c").select(F.col("key").alias("k"), "b")
-        ties = spread.join(tied, F.col("key") == F.col("k")).filter("cid <> b").select(F.col("cid").alias("a"), "b")
-        found = components(ties)
-        sizes = found.groupBy("root").agg(F.count("*").alias("m")).withColumnRenamed("root", "r")
-        found = found.join(sizes, F.col("root") == F.col("r")).drop("r")
-        tiles = F.ceil(F.col("m") / tile)
-        found = found.withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("node"), "tiles"))
+        found = candidates(self.classes.select("cid", F.explode("bands").alias("key")), tile)
         wanted = self.classes.select("cid", "slab", "row").join(found, F.col("cid") == F.col("node")).select("slab", "row", "cid", "root", "tiles", "t")
 
         def send(no: int, slab: Slab | None, want: pa.Table) -> pa.Table:
@@ -183,10 +176,7 @@ class NearDuplicates:
             return (some if slab is not None else some.slice(0, 0)).append_column("grams", pa.array(grams, pa.binary()))
 
         sent = self.slabs.meet(wanted, send, "cid long, root long, tiles long, t long, grams binary")
-        # tile (i, j), i <= j, gets members of both; a tile of its own has side 0, else rows 1 and columns 2
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("o")
-        sent = sent.select("cid", "root", "tiles", "t", "grams", other).select("cid", "root", "tiles", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), F.when(F.col("t") == F.col("o"), 0).when(F.col("t") < F.col("o"), 1).otherwise(2).alias("side"), "grams")
-        links = checkpointed(sent.groupBy("root", "i", "j").applyInArrow(lambda table: _tile(table, threshold), FOUND))
+        links = checkpointed(in_tiles(sent).groupBy("root", "i", "j").applyInArrow(lambda table: _tile(table, threshold), FOUND))
         self.links = links.filter("b is null").groupBy(F.col("a").alias("cid_")).agg(F.sum("n").alias("n_links"))
         self.groups = components(links.filter("b is not null").select("a", "b"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glotspark.llm import langid, lines, mixing, near, packing, simhash, substring, topk, toxicity
+from glotspark.llm.shared import checkpointed
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,7 +39,9 @@ LEARNED = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.probe(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    probed = checkpointed(simhash.probe(_table(spark, sf_dir, "documents", "doc_id", "text")))
+    found = simhash.search(probed.select("doc_id", "fingerprint")).withColumnRenamed("fingerprint", "f")
+    return probed.join(found, probed["fingerprint"] == found["f"], "left").select(*probed.columns, "class_id", "n_near")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

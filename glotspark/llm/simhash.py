@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glotspark.llm.gather import SUMS, packed, summed
-from glotspark.llm.kernels import U64, Words, in_slabs, mix, range_hash, text_bytes
+from glotspark.llm.graph import candidates, in_tiles
+from glotspark.llm.kernels import BYTE_BASE, BYTE_CODES, U64, Words, in_slabs, mix, prefix_hash, range_hash, text_bytes
 from glotspark.llm.shared import checkpointed
 from glotspark.llm.slabs import _frozen, _thawed
 
@@ -101,8 +102,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _text_key(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    from glotspark.llm.kernels import BYTE_BASE, BYTE_CODES, prefix_hash
-
     return range_hash(prefix_hash(BYTE_CODES[data], BYTE_BASE), offs[:-1], offs[1:], BYTE_BASE).view(np.int64)
 
 
@@ -179,3 +178,68 @@ def probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     dealt = docs.mapInArrow(deal, "p int, next boolean, payload binary")
     return dealt.groupBy("p").applyInArrow(rate, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def _table_keys(prints: np.ndarray, radius: int, blocks: int) -> np.ndarray:
+    """Per fingerprint and table a key of the table's leading blocks. Two that
+    differ in at most ``radius`` bits share a key in some table."""
+    bits = np.unpackbits(prints, axis=1)
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    parts = [np.packbits(bits[:, a:b], axis=1) for a, b in itertools.pairwise(edges)]
+    codes = np.stack([range_hash_rows(p) for p in parts], 1)
+    out = []
+    for table, chosen in enumerate(itertools.combinations(range(blocks), blocks - radius)):
+        key = np.full(len(prints), table + 1, U64)
+        for b in chosen:
+            key = mix(key ^ codes[:, b])
+        out.append(key)
+    return np.stack(out, 1)
+
+
+def range_hash_rows(rows: np.ndarray) -> np.ndarray:
+    """64 bits for each row of bytes."""
+    out = np.zeros(len(rows), U64)
+    for j in range(rows.shape[1]):
+        out = mix(out * U64(257) + rows[:, j].astype(U64) + U64(1))
+    return out
+
+
+def _near_counts(table: pa.Table, radius: int) -> pa.Table:
+    ids, side = table["cid"].to_numpy(), table["side"].to_numpy()
+    prints = np.frombuffer(b"".join(table["print"].to_pylist()), U64).reshape(len(ids), BITS // 64)
+    rows, cols = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    n = np.zeros(len(ids), np.int64)
+    for at in range(0, len(rows), 256):
+        some = rows[at : at + 256]
+        apart = sum(np.bitwise_count(prints[some, k][:, None] ^ prints[cols, k][None, :]).astype(np.int64) for k in range(BITS // 64))
+        near = (apart <= radius) & (some[:, None] != cols[None, :])
+        n[some] += near.sum(1)
+        if side.any():
+            n[cols] += near.sum(0)
+    return pa.table({"cid": ids, "n": n})
+
+
+def search(prints: DataFrame, radius: int = 4, blocks: int = 6, tile: int = 4096) -> DataFrame:
+    """prints: doc_id and fingerprint (hex). Returns for each distinct fingerprint
+    class_id (its least doc_id) and n_near (how many other fingerprints differ in
+    at most ``radius`` bits), by permuted block tables: exact, whatever the data.
+
+    With blocks - radius leading blocks of BITS / blocks bits, chance meetings are
+    rare (42 bits here). Members of one bucket are tied, not paired; ties give
+    components, whose pairs are compared in tiles."""
+    if not 0 <= radius < blocks:
+        raise ValueError("more blocks than the radius are needed")
+    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).withColumn("print", F.unhex("fingerprint"))
+    distinct = checkpointed(distinct.withColumn("cid", F.monotonically_increasing_id()))
+
+    def keys(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = _table_keys(np.frombuffer(b"".join(batch["print"].to_pylist()), np.uint8).reshape(-1, BITS // 8), radius, blocks)
+                yield pa.record_batch({"cid": pa.array(np.repeat(batch["cid"].to_numpy(), found.shape[1])), "key": pa.array(found.ravel().view(np.int64))})
+
+    found = candidates(distinct.select("cid", "print").mapInArrow(keys, "cid long, key long"), tile)
+    members = distinct.select("cid", "print").join(found, F.col("cid") == F.col("node")).drop("node")
+    near = in_tiles(members).groupBy("root", "i", "j").applyInArrow(lambda t: _near_counts(t, radius), "cid long, n long")
+    near = near.groupBy(F.col("cid").alias("c")).agg(F.sum("n").alias("n"))
+    return distinct.join(near, F.col("cid") == F.col("c"), "left").select("fingerprint", "class_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_near"))

@@ -224,6 +224,21 @@ def test_simhash(docs, rows, nothing):
     assert len(one) == 1 and one[0].near_next == 1
 
 
+def test_permuted_block_tables(spark):
+    rng = random.Random(6)
+    prints = [rng.getrandbits(128) for _ in range(40)] + [0]
+    for _ in range(160):
+        x = rng.choice(prints)
+        for _ in range(rng.randint(0, 5)):
+            x ^= 1 << rng.randrange(128)
+        prints.append(x)
+    df = spark.createDataFrame([(i, f"{x:032x}") for i, x in enumerate(prints)], "doc_id long, fingerprint string")
+    for tile in (4096, 7):
+        got = {int(r.fingerprint, 16): (r.class_id, r.n_near) for r in simhash.search(df, tile=tile).collect()}
+        assert got == {x: (prints.index(x), sum(y != x and (x ^ y).bit_count() <= 4 for y in set(prints))) for x in set(prints)}
+    assert simhash.search(df.limit(0)).count() == 0
+
+
 # 6. toxicity
 
 
