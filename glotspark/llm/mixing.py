@@ -35,6 +35,12 @@ from glotspark.llm.shared import checkpointed
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def draw(seed: int, id_col: str):
+    """A seeded number from 0 to 2**32 - 1 for an id (null: as the text null)."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
     """Shares of total by weight, none above most times its size."""
     out: list[float] = [0.0] * len(sizes)
@@ -105,14 +111,14 @@ def mix(
     sizes = [r["source_size"] for r in per]
     total = sum(sizes)
     aims = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(per))], share * total, most)
-    quotas = seats(aims, round(share * total / block), [most * math.ceil(s / block) for s in sizes])
+    quotas = seats(aims, math.floor(share * total / block + 0.5), [most * math.ceil(s / block) for s in sizes])
     plan = spark.createDataFrame(
         [(r["source"], s, a, q, max(1, math.ceil(s / shard_words))) for r, s, a, q in zip(per, sizes, aims, quotas, strict=True)],
         T.StructType([T.StructField("source_", docs.schema[source_col].dataType)]).add("source_size", "long").add("target", "double").add("quota", "long").add("shards", "long"),
     )
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.join(plan, df["source"].eqNullSafe(plan["source_"])).drop("source_").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "shards"))
+        return df.join(plan, df["source"].eqNullSafe(plan["source_"])).drop("source_").withColumn("shard", F.pmod(draw(seed, "doc_id"), F.col("shards")))
 
     def share_out(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard").reset_index(drop=True)
@@ -125,7 +131,7 @@ def mix(
         out["extra"] = [q % k for q, k in zip(got, n, strict=True)]
         out["blocks"] = n
         out["step"] = [next(a for a in range(max(1, int(k * 0.6180339887)), 2 * k + 2) if math.gcd(a, k) == 1) for k in n]
-        out["shift"] = [(seed * 2654435761 + 97 * int(s)) % k for s, k in zip(pdf["shard"], n, strict=True)]
+        out["shift"] = [(seed * 1000003 + 97 * int(s)) % k for s, k in zip(pdf["shard"], n, strict=True)]
         return out
 
     kind = docs.schema[source_col].dataType.simpleString()
@@ -133,7 +139,7 @@ def mix(
     drawn = shards.groupBy("source").applyInPandas(share_out, f"source {kind}, shard long, times long, extra long, blocks long, step long, shift long").select(F.col("source").alias("source_"), F.col("shard").alias("shard_"), "times", "extra", "blocks", "step", "shift")
     rows = dealt(rows)
     rows = rows.join(drawn, rows["source"].eqNullSafe(drawn["source_"]) & (rows["shard"] == drawn["shard_"]))
-    order = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    order = W.partitionBy("source", "shard").orderBy(draw(seed + 1, "doc_id"), "doc_id", "size")
     found = rows.withColumn("end", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     a, e, b = F.col("end") - F.col("size"), F.col("end"), F.lit(block).cast("long")
 

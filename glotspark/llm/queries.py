@@ -23,11 +23,81 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), gram=5, threshold=0.8)
 
 
+OP2_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g0 AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS g FROM d WHERE len(w) > 0),
+s AS (SELECT doc_id, md5(array_to_string(list_sort(list_distinct(g)), chr(10))) AS h, list_distinct(g) AS g FROM g0),
+c AS (SELECT h, min(doc_id) AS class_id, any_value(len(g)) AS n, any_value(g) AS g FROM s GROUP BY h),
+e AS (SELECT class_id, n, unnest(g) AS gram FROM c),
+p AS (SELECT a.class_id AS a, b.class_id AS b FROM e AS a JOIN e AS b ON a.gram = b.gram AND a.class_id <> b.class_id
+      GROUP BY a.class_id, b.class_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+t AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT t.a, p.b FROM t JOIN p ON t.b = p.a),
+m AS (SELECT a, min(b) AS group_id FROM t GROUP BY a),
+l AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(group_id, d.doc_id) AS group_id
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN c ON s.h = c.h LEFT JOIN m ON c.class_id = m.a LEFT JOIN l ON c.class_id = l.a
+"""
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+), s0 AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w,
+         row_number() OVER (ORDER BY source NULLS LAST) AS nth
+  FROM d GROUP BY source
+), s1 AS (  -- sources by when they fill up; what is left for each and those after it
+  SELECT *, row_number() OVER o AS fill,
+         1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight
+  FROM s0 WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / w, nth)
+), s2 AS (
+  SELECT *, min(CASE WHEN rest * w / weight < 2 * source_size THEN fill END) OVER () AS open_at FROM s1
+), s3 AS (
+  SELECT a.source, a.source_size, a.nth,
+         CASE WHEN a.open_at IS NULL OR a.fill < a.open_at THEN CAST(2 * a.source_size AS DOUBLE) ELSE b.rest * a.w / b.weight END AS target
+  FROM s2 AS a LEFT JOIN s2 AS b ON b.fill = a.open_at
+), q1 AS (  -- blocks of 16 words by the highest quotients
+  SELECT nth, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, nth) AS place
+  FROM (SELECT nth, target, unnest(range(2 * CAST(ceil(source_size / 16.0) AS BIGINT))) AS k FROM s3)
+), plan AS (
+  SELECT s3.*, (SELECT count(*) FROM q1 WHERE q1.nth = s3.nth AND place <= (SELECT floor(1.5::DOUBLE * sum(source_size) / 16 + 0.5) FROM s3)) AS quota,
+         greatest(1, CAST(ceil(source_size / 262144.0) AS BIGINT)) AS shards
+  FROM s3
+), e AS (
+  SELECT d.*, p.source_size, p.target, p.nth, p.quota,
+         CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) % p.shards AS shard,
+         CAST('0x' || substr(md5('2:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS draw
+  FROM d JOIN plan AS p ON d.source IS NOT DISTINCT FROM p.source
+), h0 AS (
+  SELECT nth, shard, any_value(quota) AS quota, CAST(sum(size) AS BIGINT) AS words, greatest(1, CAST(ceil(sum(size) / 16.0) AS BIGINT)) AS blocks FROM e GROUP BY nth, shard
+), h1 AS (
+  SELECT nth, shard, quota, row_number() OVER (PARTITION BY nth ORDER BY CAST(words AS DOUBLE) / (2 * k + 1) DESC, shard) AS place
+  FROM (SELECT nth, shard, quota, words, unnest(range(2 * CAST(ceil(words / 16.0) AS BIGINT))) AS k FROM h0)
+), h2 AS (
+  SELECT h0.*, (SELECT count(*) FROM h1 WHERE h1.nth = h0.nth AND h1.shard = h0.shard AND h1.place <= h0.quota) AS got FROM h0
+), h AS (
+  SELECT *, got // blocks AS times, got % blocks AS extra, (1000003 + 97 * shard) % blocks AS shift,
+         (SELECT min(a) FROM (SELECT unnest(range(greatest(1, CAST(floor(blocks * 0.6180339887::DOUBLE) AS BIGINT)), 2 * blocks + 2)) AS a) WHERE gcd(a, blocks) = 1) AS step
+  FROM h2
+), f AS (
+  SELECT e.*, h.times, h.extra, h.shift, h.step, h.blocks,
+         CAST(sum(size) OVER (PARTITION BY e.nth, e.shard ORDER BY draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+  FROM e JOIN h ON e.nth = h.nth AND e.shard = h.shard
+), g AS (
+  SELECT *, unnest(CASE WHEN size > 0 THEN range((stop - size) // 16, (stop - 1) // 16 + 1) ELSE [NULL] END) AS j, row_number() OVER () AS r FROM f
+)
+SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, any_value(source) AS source,
+       CAST(coalesce(sum((least(stop, (j + 1) * 16) - greatest(stop - size, j * 16)) * (times + CASE WHEN (step * j + shift) % blocks < extra THEN 1 ELSE 0 END)), 0) AS BIGINT) AS taken
+FROM (SELECT g.*, first_value(r) OVER (PARTITION BY nth, shard, stop, draw, doc_id, size ORDER BY j) AS one FROM g) GROUP BY one
+"""
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.substring_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -38,6 +108,18 @@ HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, fals
 LEARNED = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
 
 
+OP4_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT doc_id, p, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS k FROM u),
+f AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM k WHERE p <= n - 19) WHERE r > 1),
+g AS (SELECT DISTINCT doc_id, p + o AS p FROM f, range(20) AS t(o)),
+r AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.p) AS kept, count(*) AS n FROM u ANTI JOIN g ON u.doc_id = g.doc_id AND u.p = g.p GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     probed = checkpointed(simhash.probe(_table(spark, sf_dir, "documents", "doc_id", "text")))
     found = simhash.search(probed.select("doc_id", "fingerprint")).withColumnRenamed("fingerprint", "f")
@@ -88,5 +170,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("content", 256).alias("kept_sha256"))
 
 
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+k AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS k FROM (SELECT doc_id, x, unnest(range(n - 49)) AS i FROM d)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM k) WHERE m < doc_id),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+      FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM f)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+c AS (SELECT d.doc_id, any_value(n) AS n, coalesce(sum(b - a), 0) AS gone, count(a) AS spans, any_value(x) AS x, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b
+      FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN spans = 0 THEN x ELSE array_to_string(list_transform(range(1, spans + 2), lambda j:
+         substr(x, 2 * CASE WHEN j = 1 THEN 0 ELSE b[j - 1] END + 1, 2 * (CASE WHEN j = spans + 1 THEN n ELSE a[j] END - CASE WHEN j = 1 THEN 0 ELSE b[j - 1] END))), '') END)) AS kept_sha256
+FROM c
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_mixing, op4_substring_dedup, op5_simhash, op6_toxicity, op7_language_id, op8_line_dedup, op9_top_k, op10_suffix_dedup)}
-ORACLES = {"op9_top_k": OP9_SQL}
+ORACLES = {"op2_ngram_join": OP2_SQL, "op3_mixing": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_top_k": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
