@@ -26,13 +26,14 @@ def _recognised(backend: Recognizer, contents: pd.Series, run=None) -> list[list
     return out
 
 
-def recognize(images: DataFrame, backend: Recognizer, content_col: str = "content", out: str = "text", batch_rows: int = 64) -> DataFrame:
+def recognize(images: DataFrame, backend: Recognizer, content_col: str = "content", out: str = "text", batch_rows: int | None = None) -> DataFrame:
     """Adds the recognised text: the texts of the spans in order, one a line.
 
-    Images are large: give Arrow few rows at a time (batch_rows is set for the
-    session) and filter by path or length beforehand, so that only images that
-    are needed reach Python."""
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    Images are large: give Arrow few rows at a time (batch_rows sets that for the
+    session, from then on) and filter by path or length beforehand, so that only
+    images that are needed reach Python."""
+    if batch_rows:
+        images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
