@@ -8,6 +8,7 @@ UTF-8 sequence, so this equals matching ``[^\\x20\\x09-\\x0D]+`` on characters.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -123,6 +124,16 @@ def slices(table: pa.Table | pa.RecordBatch, sizes: np.ndarray, limit: int):
         at = to
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and an
+    executor's limit counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library; it only frees later
+
+
 def in_slabs(batches, text: str, limit: int):
     """Tables of whole rows with about limit bytes of text from Arrow batches."""
     held, size = [], 0
@@ -139,3 +150,5 @@ def in_slabs(batches, text: str, limit: int):
             size += n
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    trim()

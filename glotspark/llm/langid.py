@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from glotspark.llm.gather import SUMS, packed, summed
 from glotspark.llm.kernels import BYTE_BASE, BYTE_CODES, U64, in_slabs, mix, prefix_hash, range_hash, runs, text_bytes
+from glotspark.llm.shared import prepare
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -193,6 +194,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", switc
                 total += np.bincount(WORDS + 2 * ENDS + words.script[some], minlength=SIZE)
         yield from packed(sums, TaskContext.get().partitionId())
 
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("text is not null and lang is not null")
     return Model(summed(rows.mapInArrow(count, SUMS), SIZE), switch)
 
@@ -244,5 +246,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             lang = pa.array(np.where(lettered, np.array([*model.names, "und"], object)[np.where(lettered, pred, k)], "und"), pa.string())
             yield pa.record_batch({"doc_id": table["doc_id"].combine_chunks(), "lang_pred": lang, "score": pa.array(np.where(lettered, np.clip(sure, 0, 1), 0.0)), "spans": lists})
 
+    prepare(docs.sparkSession)
     columns = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return columns.mapInArrow(label, f"doc_id long, lang_pred string, score double, spans {SPANS}")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glotspark.llm.kernels import in_slabs
-from glotspark.llm.shared import checkpointed
+from glotspark.llm.shared import checkpointed, prepare
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, repeat long"
 LOWER = bytes(range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
@@ -47,7 +47,7 @@ class Encoder:
     most ``2 * room``; a word in use moves to the younger one.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -164,6 +164,7 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
             names = [x.split()[0] for x in PIECES.split(", ")]
             yield pa.record_batch({c: pa.array(v, pa.int64()) for c, v in zip(names, zip(*rows, strict=True), strict=True)})
 
+    prepare(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(cut, PIECES)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from glotspark.llm.gather import SUMS, packed, summed
 from glotspark.llm.graph import candidates, in_tiles
 from glotspark.llm.kernels import BYTE_BASE, BYTE_CODES, U64, Words, in_slabs, mix, prefix_hash, range_hash, text_bytes
-from glotspark.llm.shared import checkpointed
+from glotspark.llm.shared import checkpointed, prepare
 from glotspark.llm.slabs import _frozen, _thawed
 
 BITS = 128
@@ -115,6 +115,7 @@ def probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Returns doc_id, n_chars, edited (the edited text's sha256), fingerprint
     and edited_fingerprint (hex), near_edited and near_next."""
     spark = docs.sparkSession
+    prepare(spark)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * max(parts, 500))).first()[0]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glotspark.llm import shared
-from glotspark.llm.kernels import NULL_ID, U64, in_slabs, text_bytes
+from glotspark.llm.kernels import NULL_ID, U64, in_slabs, text_bytes, trim
 
 SLAB_BYTES = 4 << 20
 SLAB = "slab long, n_bytes long, payload binary"
@@ -188,6 +188,7 @@ class Slabs:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), slab_bytes: int = SLAB_BYTES):
         self.spark: SparkSession = docs.sparkSession
+        shared.prepare(self.spark)
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         columns = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
         columns += [F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)]
@@ -212,6 +213,7 @@ class Slabs:
                 for batch in batches:
                     for no, payload in zip(batch["slab"].to_pylist(), batch["payload"].to_pylist(), strict=True):
                         yield from work(no, Slab(payload), None).to_batches()
+                trim()
 
             return self.rows.mapInArrow(alone, schema)
 
@@ -219,6 +221,7 @@ class Slabs:
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
             made = [work(left["slab"][0].as_py(), Slab(left["payload"][i].as_py()), Answers(right, parts)) for i in range(left.num_rows)]
+            trim()
             return pa.concat_tables(made) if made else empty
 
         return self.rows.groupBy("slab").cogroup(self.answers.groupBy("slab")).applyInArrow(both, schema)

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glotspark.llm import lines, mixing, near, packing, toxicity
-from glotspark.llm.kernels import Words, text_bytes
+from glotspark.llm.kernels import Words, text_bytes, trim
 from glotspark.llm.queries import LEARNED
+from glotspark.llm.shared import prepare
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -50,6 +51,8 @@ def cut_spans(rows: DataFrame, spans: str = "spans") -> DataFrame:
     text with the white space between their words. Adjacent ranges run on; others
     are set apart by a line feed; a round for each time that a range is taken."""
 
+    prepare(rows.sparkSession)
+
     def cut(batches):
         for batch in batches:
             data, offs = text_bytes(batch["text"])
@@ -70,6 +73,7 @@ def cut_spans(rows: DataFrame, spans: str = "spans") -> DataFrame:
                 out.append(b"\n".join(raw[words.start[base + a] : words.end[base + b - 1]] for a, b in pieces).decode("utf-8", "replace"))
             columns = [pa.array(out, pa.string()) if name == "text" else batch[name] for name in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        trim()
 
     return rows.mapInArrow(cut, rows.schema)
 

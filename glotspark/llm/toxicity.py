@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from glotspark.llm.gather import SUMS, packed, summed
 from glotspark.llm.kernels import BYTE_BASE, BYTE_CODES, U64, WORD_BASE, Words, in_slabs, mix, prefix_hash, range_hash, runs, text_bytes
 from glotspark.llm.langid import LETTER, LOWER
-from glotspark.llm.shared import checkpointed
+from glotspark.llm.shared import checkpointed, prepare
 
 BLOCK = 64
 
@@ -205,6 +205,7 @@ class Model:
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    prepare(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
@@ -322,6 +323,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out = {"doc_id": table["doc_id"], "score": pa.array(scores, pa.float64()), "evidence": pa.ListArray.from_arrays(ends, near)}
             yield from pa.table(out | {f"keep_{i}": table[f"keep_{i}"] for i in range(len(keep))}).to_batches()
 
+    prepare(docs.sparkSession)
     schema = T._parse_datatype_string(f"doc_id long, score double, evidence {EVIDENCE}")
     for i, c in enumerate(keep):
         schema = schema.add(f"keep_{i}", docs.schema[c].dataType)
