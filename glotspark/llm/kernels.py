@@ -9,7 +9,6 @@ UTF-8 sequence, so this equals matching ``[^\\x20\\x09-\\x0D]+`` on characters.
 from __future__ import annotations
 
 import ctypes
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,29 +34,39 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> np.ndarray:
+KEPT_POWERS = 1 << 21
+_kept: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers. One array a base is kept, of KEPT_POWERS at most."""
+    kept = _kept.get(base)
+    if kept is not None and len(kept) >= n:
+        return kept[:n]
+    size = n if n > KEPT_POWERS else min(KEPT_POWERS, max(1 << 16, n + n // 4))
     out = np.full(size, base, U64)
     out[:1] = 1
-    return np.cumprod(out, dtype=U64)
+    np.cumprod(out, dtype=U64, out=out)
+    if size <= KEPT_POWERS:
+        _kept[base] = out
+    return out[:n]
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64, and of its inverse."""
-    size = -(-max(n, 1) // (1 << 19)) << 19
-    return _powers(base, size)[:n], _powers(pow(base, -1, 1 << 64), size)[:n]
+    return _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
 
 
 def prefix_hash(codes: np.ndarray, base: int) -> np.ndarray:
     """Sums S with S[i] = sum of codes[k] * base**k for k < i, modulo 2**64."""
     out = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * powers(base, len(codes))[0], dtype=U64, out=out[1:])
+    np.cumsum(codes * _powers(base, len(codes)), dtype=U64, out=out[1:])
     return out
 
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Position-free hashes of codes[start:end], mixed."""
-    return mix((sums[end] - sums[start]) * powers(base, len(sums))[1][start])
+    return mix((sums[end] - sums[start]) * _powers(pow(base, -1, 1 << 64), len(sums))[start])
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

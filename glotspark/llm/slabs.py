@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from glotspark.llm import shared
 from glotspark.llm.kernels import NULL_ID, U64, in_slabs, text_bytes, trim
 
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 2 << 20
 SLAB = "slab long, n_bytes long, payload binary"
 SENT = "slab long, part int, kind int, keys binary, docs binary, roles binary"
 ANSWER = "slab long, part int, kind int, bits binary"
