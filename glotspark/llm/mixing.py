@@ -93,14 +93,16 @@ def mix(
     seed: int = 1,
     max_sources: int = 1_000_000,
     keep: tuple[str, ...] = (),
+    size_col: str | None = None,
 ) -> DataFrame:
-    """Returns doc_id, source, size, source_size, target, taken, spans (ranges of
+    """size_col: a column with the number of words, where it is known; text_col
+    isn't read then. Returns doc_id, source, size, source_size, target, taken, spans (ranges of
     words taken, as first, end, times) and the columns named in keep."""
     spark = docs.sparkSession
     sized = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source_col}`").alias("source"),
-        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        (F.col(f"`{size_col}`") if size_col else F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0))).cast("long").alias("size"),
         *(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)),
     )
     rows, sized = sized, checkpointed(sized.select("doc_id", "source", "size"))

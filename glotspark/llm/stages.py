@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glotspark.llm import lines, mixing, near, packing, toxicity
-from glotspark.llm.kernels import Words, text_bytes, trim
+from glotspark.llm.kernels import Words, trim
 from glotspark.llm.queries import LEARNED
-from glotspark.llm.shared import prepare
+from glotspark.llm.shared import checkpointed
+from glotspark.llm.slabs import Slab, Slabs
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -46,46 +49,63 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return first.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def cut_spans(rows: DataFrame, spans: str = "spans") -> DataFrame:
-    """Texts reduced to ranges of words (first, end, times), as they stand in the
-    text with the white space between their words. Adjacent ranges run on; others
-    are set apart by a line feed; a round for each time that a range is taken."""
+def cut_text(raw: bytes, words: Words, row: int, spans: list[dict]) -> str:
+    """A text reduced to ranges of words (first, end, times), as they stand in it
+    with the white space between their words. Adjacent ranges run on; others are
+    set apart by a line feed; a round for each time that a range is taken."""
+    base, pieces = words.first[row], []
+    for time in range(max((s["times"] for s in spans), default=0)):
+        last = -1
+        for s in spans:
+            if s["times"] > time:
+                if s["first"] == last:
+                    pieces[-1][1] = s["end"]
+                else:
+                    pieces.append([s["first"], s["end"]])
+                last = s["end"]
+    return b"\n".join(raw[words.start[base + a] : words.end[base + b - 1]] for a, b in pieces).decode("utf-8", "replace")
 
-    prepare(rows.sparkSession)
 
-    def cut(batches):
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; documents of which it takes nothing
+    go, unless they have no words at all. Sizes and ranges are shuffled, texts
+    stay in their slabs."""
+    keep = _others(docs)
+    slabs = Slabs(docs, "doc_id", "text", keep)
+    source = f"keep_{keep.index('source')}"
+
+    def measure(batches):
         for batch in batches:
-            data, offs = text_bytes(batch["text"])
-            words = Words(data, offs, hashed=False)
-            raw = data.tobytes()
-            out = []
-            for i, spans in enumerate(batch["spans"].to_pylist()):
-                base, pieces = words.first[i], []
-                for time in range(max((s["times"] for s in spans), default=0)):
-                    last = -1
-                    for s in spans:
-                        if s["times"] > time:
-                            if s["first"] == last:
-                                pieces[-1][1] = s["end"]
-                            else:
-                                pieces.append([s["first"], s["end"]])
-                            last = s["end"]
-                out.append(b"\n".join(raw[words.start[base + a] : words.end[base + b - 1]] for a, b in pieces).decode("utf-8", "replace"))
-            columns = [pa.array(out, pa.string()) if name == "text" else batch[name] for name in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for no, payload in zip(batch["slab"].to_pylist(), batch["payload"].to_pylist(), strict=True):
+                slab = Slab(payload)
+                size = Words(slab.data, slab.offs, hashed=False).counts
+                yield from pa.table({"slab": np.full(len(slab), no), "row": np.arange(len(slab)), "doc_id": slab.table["doc_id"], "source": slab.table[source], "size": size}).to_batches()
+            trim()
+
+    sized = slabs.rows.mapInArrow(measure, "slab long, row long, doc_id long, source string, size long")
+    mixed = mixing.mix(checkpointed(sized), size_col="size", keep=("slab", "row"), block=256)
+    wanted = mixed.filter("taken > 0 or size = 0").select("slab", "row", "spans")
+    names = ["doc_id", *(f"keep_{i}" for i in range(len(keep)))]
+    schema = T.StructType().add("doc_id", "long")
+    for i, c in enumerate(keep):
+        schema = schema.add(f"keep_{i}", docs.schema[c].dataType)
+    schema = schema.add("text", "string")
+    nothing = pa.table({"x": [0]}).slice(0, 0)
+
+    def cut(no: int, slab: Slab | None, want: pa.Table) -> pa.Table:
+        if slab is None:
+            return nothing
+        words, raw = Words(slab.data, slab.offs, hashed=False), slab.data.tobytes()
+        known = slab.table["text"].is_valid().to_pylist()
+        texts = []
+        for row, spans in zip(want["row"].to_pylist(), want["spans"].to_pylist(), strict=True):
+            whole = raw[slab.offs[row] : slab.offs[row + 1]].decode("utf-8", "replace") if known[row] else None
+            texts.append(cut_text(raw, words, row, spans) if spans else whole)
         trim()
+        return slab.table.select(names).take(want["row"]).append_column("text", pa.array(texts, pa.string()))
 
-    return rows.mapInArrow(cut, rows.schema)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document; documents of which it takes nothing
-    go, unless they have no words at all."""
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "source", "n_chars"))
-    mixed = mixing.mix(docs, keep=keep, block=256)
-    rows = cut_spans(mixed.filter("taken > 0").select("doc_id", "source", "spans", *keep)).drop("spans")
-    empty = mixed.filter("size = 0").select("doc_id", "source", *keep)
-    return _documents(rows.unionByName(empty), docs)
+    out = slabs.meet(wanted, cut, schema)
+    return _documents(out.select("doc_id", "text", *(out[f"keep_{i}"].alias(c) for i, c in enumerate(keep))), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
