@@ -36,6 +36,7 @@ from pyspark.sql import Window as W
 from glotspark.llm.kernels import NULL_ID
 from glotspark.llm.shared import checkpointed
 
+PAIRS_AT_ONCE = 1 << 14
 PARTITION_ROWS, BLOCK_CELLS, QUERY_BLOCK, STRIPE_BLOCKS = 65536, 1 << 19, 1024, 16
 LOW, HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
@@ -117,7 +118,8 @@ class Best:
             need = need.copy()
             need[f] = np.where(own, -np.inf, flat.min(1))
         a, b = np.nonzero((upper >= need[:, None]) & ~np.isneginf(upper))
-        score = exact_scores(self.q.x[some[a]], block.x[b])
+        parts = range(0, len(a), PAIRS_AT_ONCE)  # a weak bound leaves many pairs; their vectors are gathered in parts
+        score = np.concatenate([np.zeros(0, np.int64), *(exact_scores(self.q.x[some[a[i : i + PAIRS_AT_ONCE]]], block.x[b[i : i + PAIRS_AT_ONCE]]) for i in parts)])
         pick = score >= need[a]
         self._merge(some[a[pick]], block.ids[b[pick]], score[pick])
 
