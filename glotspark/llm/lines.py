@@ -15,7 +15,7 @@ earlier line goes too; the earliest of all always stays.
   variant, in i and in length differ by one replacement. A line equal to
   another's variant differs by one word put in. So equal keys, with position
   and length, already verify the distance, and each key's earliest document
-  tells what goes: no pairs are made, however many lines share a key.
+  (for a word put in: the earliest in the other role) tells what goes: no pairs are made, however many lines share a key.
 
 Defined results: as in ``substring``; a text without words is never emptied.
 """
@@ -132,7 +132,8 @@ class _Lines:
         out = self.not_first(answers)
         line, replaced, both, role, put_in = self.variants(self.candidates(answers, min_words), min_words)
         out[line[answers.of(REPLACED, replaced)[replaced.of] | self.earlier(line, replaced, None)]] = True
-        out[both[answers.of(PUT_IN, put_in)[put_in.of] | self.earlier(both, put_in, role)]] = True
+        before = answers.least(PUT_IN, put_in)[put_in.of] < self.slab.ids[self.row[both]]
+        out[both[before | self.earlier(both, put_in, role)]] = True
         return out
 
     def text(self, keep: np.ndarray) -> pa.Array:

@@ -6,10 +6,10 @@ elsewhere need a key for each range but not a row. Here the table is first laid
 out as slabs of a few MB, hash partitioned and checkpointed. A *round* then
 sends, from each slab, every distinct key once (sorted, packed in a binary for
 each range of keys) to the task that owns that range, which answers with one
-bit a key. Keys that occur very often are therefore combined before the
+bit a key (and a document for the few keys that met the other role). Keys that occur very often are therefore combined before the
 shuffle: a key reaches its owner at most once from each slab, so no common
-passage, line or group of copies makes one task grow. Answers are a
-bit a key, checkpointed, and meet their slab without moving its text again.
+passage, line or group of copies makes one task grow. Answers are
+checkpointed, and meet their slab without moving its text again.
 
 A lost executor costs only its own tasks: slabs and answers are in the shared
 checkpoint folder, the rest is ordinary lineage.
@@ -32,7 +32,7 @@ from glotspark.llm.kernels import NULL_ID, U64, in_slabs, text_bytes, trim
 SLAB_BYTES = 2 << 20
 SLAB = "slab long, n_bytes long, payload binary"
 SENT = "slab long, part int, kind int, keys binary, docs binary, roles binary"
-ANSWER = "slab long, part int, kind int, bits binary"
+ANSWER = "slab long, part int, kind int, bits binary, least binary"
 
 
 def _frozen(table: pa.Table) -> bytes:
@@ -128,9 +128,11 @@ def _resolved(table: pa.Table) -> pa.Table:
 
     kind even: the key came from two slabs at least (with roles: two different
     low bytes of role hashes came with it). kind odd: another slab sent the key
-    (with roles: the key in the other role) with a strictly smaller document.
+    with a strictly smaller document. With roles a slab's key stands for lines of
+    several documents, so the bit says only that some slab sent the key in the
+    other role, and ``least`` gives its least document for each bit set.
     """
-    out = {"slab": [], "part": [], "kind": [], "bits": []}
+    out = {"slab": [], "part": [], "kind": [], "bits": [], "least": []}
     for kind in pc.unique(table["kind"]).to_pylist():
         some = table.filter(pc.equal(table["kind"], kind))
         raw = some["keys"].to_pylist()
@@ -139,6 +141,7 @@ def _resolved(table: pa.Table) -> pa.Table:
         sizes = [len(x) for x in parts]
         keys = np.concatenate(parts)
         roles = some["roles"].to_pylist()
+        others = None
         if kind % 2 == 0:
             order, at, group = _groups(keys)
             said = np.empty(len(keys), bool)
@@ -146,29 +149,32 @@ def _resolved(table: pa.Table) -> pa.Table:
         else:
             docs = np.concatenate([_docs(x, n) for x, n in zip(some["docs"].to_pylist(), sizes, strict=True)])
             order, at, group = _groups(keys)
+            said = np.empty(len(keys), bool)
             if roles[0] is None:
-                least = np.minimum.reduceat(docs[order], at)[group]
+                said[order] = np.minimum.reduceat(docs[order], at)[group] < docs[order]
             else:
                 role = np.concatenate([np.frombuffer(x, np.uint8) for x in roles])[order]
                 by = [np.minimum.reduceat(np.where(role == r, docs[order], NULL_ID), at) for r in (0, 1)]
-                least = np.where(role == 0, by[1][group], by[0][group])
-            said = np.empty(len(keys), bool)
-            said[order] = least < docs[order]
+                others = np.empty(len(keys), np.int64)
+                others[order] = np.where(role == 0, by[1][group], by[0][group])
+                said = others != NULL_ID  # a null id is before no other
         edges = np.concatenate([[0], np.cumsum(sizes)])
         out["slab"] += some["slab"].to_pylist()
         out["part"] += some["part"].to_pylist()
         out["kind"] += [kind] * len(sizes)
         out["bits"] += [np.packbits(said[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pa.table({"slab": pa.array(out["slab"], pa.int64()), "part": pa.array(out["part"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "bits": pa.array(out["bits"], pa.binary())})
+        out["least"] += [None if others is None else others[a:b][said[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"slab": pa.array(out["slab"], pa.int64()), "part": pa.array(out["part"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "bits": pa.array(out["bits"], pa.binary()), "least": pa.array(out["least"], pa.binary())})
 
 
 class Answers:
     """The answers that a slab got, by kind."""
 
     def __init__(self, table: pa.Table, parts: int):
-        self.parts, self.bits = parts, {}
-        for kind, part, bits in zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["bits"].to_pylist(), strict=True):
+        self.parts, self.bits, self.docs = parts, {}, {}
+        for kind, part, bits, least in zip(*(table[c].to_pylist() for c in ("kind", "part", "bits", "least")), strict=True):
             self.bits[kind, part] = bits
+            self.docs[kind, part] = least
 
     def of(self, kind: int, keys: Keys) -> np.ndarray:
         out = np.zeros(len(keys.keys), bool)
@@ -178,6 +184,16 @@ class Answers:
             out[a:b] = np.unpackbits(np.frombuffer(self.bits[kind, int(owner[a])], np.uint8), count=b - a)
         return out
 
+    def least(self, kind: int, keys: Keys) -> np.ndarray:
+        """For keys with roles: the least document that has the key in the other
+        role, in any slab; the largest long where there is none."""
+        out = np.full(len(keys.keys), NULL_ID)
+        some = np.flatnonzero(self.of(kind, keys))
+        owner = part_of(keys.keys[some], self.parts).astype(np.int64)
+        for part in np.unique(owner).tolist():
+            out[some[owner == part]] = np.frombuffer(self.docs[kind, part], np.int64)
+        return out
+
 
 class Slabs:
     """A table of documents laid out as slabs.

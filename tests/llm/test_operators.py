@@ -334,6 +334,27 @@ def test_one_word_edits(spark):
     assert got == {i: t for (i, _), t in zip(rows, want, strict=True)} and got[900]
 
 
+def test_put_in_across_slabs(spark):
+    base = [f"w{i}" for i in range(12)]
+    longer = lambda i: " ".join([*base[:i], f"put{i}", *base[i:]])
+    apart = lambda *parts: spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), "doc_id long, text string")
+    first, second = [(5, longer(3)), (20, longer(7)), (30, longer(9)), (None, longer(2))], [(10, " ".join(base))]
+    for parts in ((first, second), (second, first), ([(3, " ".join(base)), *first], second)):
+        rows = [r for p in parts for r in p]
+        got = fx.bag((r.doc_id, r.text) for r in lines.line_dedup(apart(*parts)).collect())
+        assert got == fx.bag((i, t) for (i, _), t in zip(rows, fx.without_lines(rows, 10), strict=True))
+    rng = random.Random(12)
+    rows = []
+    for i in rng.sample(range(60), 60):
+        line = list(base[:6])
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(line))
+            line[k : k + rng.randint(0, 1)] = rng.choice([[], ["x"], ["y"]])
+        rows.append((i, " ".join(line)))
+    got = fx.bag((r.doc_id, r.text) for r in lines.line_dedup(apart(rows[:20], rows[20:40], rows[40:]), min_words=4).collect())
+    assert got == fx.bag((i, t) for (i, _), t in zip(rows, fx.without_lines(rows, 4), strict=True))
+
+
 # 9. top k
 
 
