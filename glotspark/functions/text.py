@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENTENCE = r"(?s)[^.!?]*[.!?]+|[^.!?]+"
 
+#: Ends of what a long text is cut into, best first.
+CUTS = tuple(re.compile(p) for p in (r"\n+", r"[.!?…]+[\"'”’)\]]*\s+|[。！？]+", r"\s+"))
+
 
 def lines(df: DataFrame, text_col: str = "text", out: str = "line") -> DataFrame:
     """One row a line with its position; a null text gives one null line."""
@@ -28,6 +34,28 @@ def pieces(text: Column, longest: int = 512) -> Column:
     return F.flatten(F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(f"(?s).{{1,{longest}}}"), F.lit(0))))
 
 
+def halves(text: str) -> tuple[str, str]:
+    """A text of two characters or more, cut near its middle: after a line feed,
+    sentence or word if one ends in the middle half, else anywhere."""
+    n = len(text)
+    for cut in CUTS:
+        ends = [m.end() for m in cut.finditer(text, n // 4, n - n // 4) if 0 < m.end() < n]
+        if ends:
+            at = min(ends, key=lambda x: abs(2 * x - n))
+            return text[:at], text[at:]
+    return text[: n // 2], text[n // 2 :]
+
+
+def bounded(text: str, size: Callable[[str], int], longest: int) -> list[str]:
+    """Pieces whose concatenation is the text, each of a size (a tokenizer's,
+    say) of at most ``longest``; an error where a character alone is larger."""
+    if size(text) <= longest:
+        return [text]
+    if len(text) < 2:
+        raise ValueError(f"{text!r} has a size of {size(text)}, more than {longest}")
+    return [piece for half in halves(text) for piece in bounded(half, size, longest)]
+
+
 def html_text(html: Column) -> Column:
     """The readable text of a page: no scripts, styles, comments or tags; block
     ends become line feeds, the five basic entities characters."""

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from glotspark.functions.text import bounded, halves
+
 
 class Recognizer(Protocol):
     def load(self) -> Callable[[list[bytes]], list[list[dict]]]:
@@ -57,24 +59,58 @@ class Tesseract:
 @dataclass(frozen=True)
 class M2M100:
     """Translation by a multilingual model, by default the 418M one; revision: of
-    fine-tuned weights. Not run where this repository is tested."""
+    fine-tuned weights. Not run where this repository is tested.
+
+    A text of more than ``longest`` tokens is translated in pieces and put
+    together with the white space between them. A piece whose translation doesn't
+    end within ``longest_output`` tokens is cut in two; a single character that
+    is still too long, before or after translation, is an error. Nothing is cut
+    off. The model sees ``batch`` pieces at a time."""
 
     name: str = "facebook/m2m100_418M"
     revision: str | None = None
     longest: int = 512
+    longest_output: int = 1000
+    batch: int = 32
 
     def load(self):
         transformers, torch = _needed("transformers", "torch")
         tokenizer = transformers.M2M100Tokenizer.from_pretrained(self.name, revision=self.revision)
         model = transformers.M2M100ForConditionalGeneration.from_pretrained(self.name, revision=self.revision).eval()
 
+        def size(text: str) -> int:
+            return len(tokenizer(text)["input_ids"])
+
+        def ended(ids: list[int]) -> bool:
+            """The first token starts the decoder and is the end token too. An
+            end in the last place may have been forced."""
+            return tokenizer.eos_token_id in ids[1 : self.longest_output]
+
+        def whole(pieces: list[str], target: str) -> list[str]:
+            out = []
+            for at in range(0, len(pieces), self.batch):
+                some = pieces[at : at + self.batch]
+                with torch.no_grad():
+                    made = model.generate(**tokenizer(some, return_tensors="pt", padding=True), forced_bos_token_id=tokenizer.get_lang_id(target), max_new_tokens=self.longest_output)
+                for piece, text, ids in zip(some, tokenizer.batch_decode(made, skip_special_tokens=True), made.tolist(), strict=True):
+                    if not ended(ids):
+                        if len(piece) < 2:
+                            raise ValueError(f"the translation of {piece!r} doesn't end within {self.longest_output} tokens")
+                        text = joined(list(halves(piece)), target)
+                    out.append(text)
+            return out
+
+        def joined(pieces: list[str], target: str) -> str:
+            """The model drops the white space around a piece, so it stays outside."""
+            bare = [p.strip() for p in pieces]
+            done = iter(whole([b for b in bare if b], target))
+            return "".join(p.replace(b, next(done), 1) if b else p for p, b in zip(pieces, bare, strict=True))
+
         def run(texts: list[str], source: str, target: str) -> list[str]:
-            if not texts:
-                return []
             tokenizer.src_lang = source
-            with torch.no_grad():
-                made = model.generate(**tokenizer(texts, return_tensors="pt", padding=True, truncation=True, max_length=self.longest), forced_bos_token_id=tokenizer.get_lang_id(target))
-            return tokenizer.batch_decode(made, skip_special_tokens=True)
+            cut = [bounded(t, size, self.longest) for t in texts]
+            short = iter(whole([p[0] for p in cut if len(p) == 1], target))
+            return [next(short) if len(p) == 1 else joined(p, target) for p in cut]
 
         return run
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import sys
+from types import SimpleNamespace
+
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glotspark.functions.text import html_text, lines, pieces, rejoined
+from glotspark.functions.text import bounded, html_text, lines, pieces, rejoined
 from glotspark.operators.backends import M2M100, Marked, PlainText, Tesseract
 from glotspark.operators.pairs import training_pairs
 from glotspark.operators.recognize import recognize, recognize_spans
@@ -110,6 +115,69 @@ def test_missing_libraries_are_an_error():
             backend.load()
 
 
+@given(st.text(alphabet="ab .!?\n。", max_size=200), st.integers(1, 9))
+def test_bounded_pieces(text, longest):
+    got = bounded(text, len, longest)
+    assert "".join(got) == text and all(len(p) <= longest for p in got)
+
+
+def test_a_piece_that_cannot_be_cut_is_an_error():
+    with pytest.raises(ValueError, match="more than 2"):
+        bounded("ab", lambda t: 3, 2)
+
+
+@pytest.fixture
+def characters(monkeypatch):
+    """Libraries whose model gives upper case, each # eight times; a token a
+    character, two special ones more; lengths cut as the real ones cut them."""
+
+    class Tokenizer:
+        eos_token_id = 2
+
+        def __call__(self, texts, return_tensors=None, padding=False, truncation=False, max_length=None):
+            ids = [[9, *(ord(c) + 10 for c in t), 2] for t in ([texts] if isinstance(texts, str) else texts)]
+            ids = [[*x[: max_length - 1], 2] if truncation and len(x) > max_length else x for x in ids]
+            return {"input_ids": ids[0] if isinstance(texts, str) else ids}
+
+        def get_lang_id(self, lang):
+            return 8
+
+        def batch_decode(self, rows, skip_special_tokens):
+            return ["".join(chr(x - 10) for x in row if x >= 10).strip() for row in rows.tolist()]
+
+    class Model:
+        calls = []
+
+        def eval(self):
+            return self
+
+        def generate(self, input_ids, forced_bos_token_id, max_new_tokens=199):
+            self.calls.append(max(map(len, input_ids)))
+            said = [[forced_bos_token_id, *(ord(d) + 10 for x in ids[1:-1] for d in chr(x - 10).upper() * (8 if chr(x - 10) == "#" else 1)), 2][:max_new_tokens] for ids in input_ids]
+            return np.array([[2, *x, *[1] * (max(map(len, said)) - len(x))] for x in said])
+
+    model = Model()
+    model.calls = []
+    load = lambda made: SimpleNamespace(from_pretrained=lambda name, revision: made)
+    monkeypatch.setitem(sys.modules, "transformers", SimpleNamespace(M2M100Tokenizer=load(Tokenizer()), M2M100ForConditionalGeneration=load(model)))
+    monkeypatch.setitem(sys.modules, "torch", SimpleNamespace(no_grad=contextlib.nullcontext))
+    return model
+
+
+def test_long_texts_are_translated_whole(characters):
+    run = M2M100().load()
+    texts = ["short", "", "A line. " * 400 + "The end", "x" * 3000, "one two\n\n three " * 90, "b" * 400, " "]
+    assert [" ".join(t.split()) for t in run(texts, "en", "ko")] == [" ".join(t.upper().split()) for t in texts]
+    assert max(characters.calls) <= 512 and run([], "en", "ko") == []
+    assert run(["one  two\n" * 100 + "z"], "en", "ko") == ["ONE  TWO\n" * 100 + "Z"]
+
+
+def test_a_translation_that_does_not_end_is_cut_or_an_error(characters):
+    assert M2M100(longest_output=50).load()(["a #### #### b"], "en", "ko") == ["A " + "#" * 32 + " " + "#" * 32 + " B"]
+    with pytest.raises(ValueError, match="doesn't end"):
+        M2M100(longest_output=8).load()(["#"], "en", "ko")
+
+
 def test_routes_and_pairs(spark):
     docs = spark.createDataFrame([(1, "en"), (2, "fr"), (3, "xx"), (4, None)], "id int, lang string")
     assert sorted((r.id, r.via) for r in routed(docs, language_pairs(spark), "ko").collect()) == [(1, None), (2, "en")]
