@@ -4,8 +4,9 @@
   second and third time that a text has a word are terms of their own, so that
   how often it comes still counts in a short vector.
 * *Fitting* uses a bounded sample: the ``per_class`` labelled documents of each
-  class that come first by a seeded hash, near copies once (three MinHashes of
-  five-word shingles). The vocabulary is the ``vocabulary`` terms that differ
+  class that come first by a seeded hash. A near copy of an earlier one of the
+  same class (a Jaccard similarity of five-word shingles of 0.8, estimated by
+  128 MinHashes) is passed over, and the next takes its place. The vocabulary is the ``vocabulary`` terms that differ
   most between the classes (chi squared, above ``least`` and above ``effect``
   times the sample). Document frequencies for the IDF come from all documents.
 * *Search.* Examples stand in blocks of 64 in an inverted index with the largest
@@ -204,6 +205,95 @@ class Model:
         return float(1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift)))), who, score
 
 
+SIGNS, NEAR, SHINGLE = 128, 0.8, 5
+EQUAL = int(np.ceil(NEAR * SIGNS))  # MinHashes that near copies share
+PROBES = SIGNS - EQUAL + 1  # of so many, near copies share one at least
+
+
+def signatures(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """SIGNS MinHashes a text; a text without words has zeros."""
+    words = Words(data, offs)
+    out = np.zeros((len(offs) - 1, SIGNS), np.uint32)
+    if not len(words):
+        return out
+    start = np.arange(len(words))
+    row = np.repeat(np.arange(len(offs) - 1), words.counts)
+    first, end = words.first[row], words.first[row + 1]
+    fit = (start + SHINGLE <= end) | (start == first)  # a shorter text is one shingle
+    row = row[fit]
+    key = range_hash(prefix_hash(words.hash, WORD_BASE), start[fit], np.minimum(start + SHINGLE, end)[fit], WORD_BASE)
+    at = np.flatnonzero(np.diff(row, prepend=-1))
+    for i, factor in enumerate(mix(np.arange(1, SIGNS + 1, dtype=U64)) | U64(1)):
+        out[row[at], i] = np.minimum.reduceat(key * factor, at) >> U64(32)
+    return out
+
+
+class Examples:
+    """Signatures of which none is near another."""
+
+    def __init__(self, most: int):
+        self.n, self.signs = 0, np.zeros((most, SIGNS), np.uint32)
+
+    def has_near(self, sign: np.ndarray) -> bool:
+        some = np.flatnonzero((self.signs[: self.n, :PROBES] == sign[:PROBES]).any(1))
+        return bool(len(some)) and int((self.signs[some] == sign).sum(1).max()) >= EQUAL
+
+    def add(self, sign: np.ndarray) -> None:
+        self.signs[self.n] = sign
+        self.n += 1
+
+
+def _examples(docs: DataFrame, known: DataFrame, per_class: int) -> list[tuple[int, int]]:
+    """doc_id and class of the examples. known: doc_id, toxic and h, the order.
+
+    By rounds: the next labelled documents that are near no example so far are
+    found on the executors, and of these the driver takes one after the other,
+    until a class has per_class or no document is left. The driver holds at most
+    2 * per_class signatures of each class besides those of the examples."""
+    spark = docs.sparkSession
+    seen = {c: Examples(per_class) for c in (0, 1)}
+    after: dict[int, tuple[int, int] | None] = {0: None, 1: None}
+    picked: dict[int, int] = {}
+    width = per_class
+    while after:
+        parts = []
+        for c, last in after.items():
+            rest = known.filter(F.col("toxic") == c)
+            if last is not None:
+                rest = rest.filter((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("doc_id") > last[1])))
+            parts.append(rest.orderBy("h", "doc_id").limit(width))
+        window = checkpointed(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+        ends = {r["toxic"]: r for r in window.groupBy("toxic").agg(F.count("*").alias("n"), F.max(F.struct("h", "doc_id")).alias("last")).collect()}  # a row a class
+        sent = spark.sparkContext.broadcast(pickle.dumps({c: (x.n, x.signs[: x.n]) for c, x in seen.items()}, 5))
+
+        def fresh(batches, sent=sent):
+            held = {}
+            for c, (n, signs) in pickle.loads(sent.value).items():
+                held[c] = Examples(0)
+                held[c].n, held[c].signs = n, signs
+            for table in in_slabs(batches, "text", 2 << 20):
+                signs = signatures(*text_bytes(table["text"]))
+                keep = [i for i, c in enumerate(table["toxic"].to_pylist()) if not held[c].has_near(signs[i])]
+                yield from table.select(["doc_id", "toxic", "h"]).take(pa.array(keep, pa.int64())).append_column("sign", pa.array([signs[i].tobytes() for i in keep], pa.binary())).to_batches()
+
+        found = checkpointed(docs.join(F.broadcast(window), "doc_id").select("doc_id", "toxic", "h", "text").mapInArrow(fresh, "doc_id long, toxic int, h long, sign binary"))
+        for c in list(after):
+            rows = found.filter(F.col("toxic") == c).orderBy("h", "doc_id", "sign").limit(2 * per_class).collect()  # bounded
+            for r in rows:
+                sign = np.frombuffer(r["sign"], np.uint32)
+                if seen[c].n < per_class and r["doc_id"] not in picked and not seen[c].has_near(sign):
+                    seen[c].add(sign)
+                    picked[r["doc_id"]] = c
+            if len(rows) == 2 * per_class:
+                after[c] = (rows[-1]["h"], rows[-1]["doc_id"])
+            elif c in ends:
+                after[c] = tuple(ends[c]["last"])
+            if seen[c].n == per_class or (len(rows) < 2 * per_class and (c not in ends or ends[c]["n"] < width)):
+                del after[c]
+        width = min(4 * width, 64 * per_class)
+    return list(picked.items())
+
+
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     prepare(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -214,31 +304,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     docs = _columns(docs, id_col, text_col)
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    first = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    # at most 2 * per_class rows of two numbers
-    sample = checkpointed(docs.join(F.broadcast(first[0].unionByName(first[1])), "doc_id").select("doc_id", "toxic", "text"))
-
-    def sign(batches):
-        for table in in_slabs(batches, "text", 2 << 20):
-            words = Words(*text_bytes(table["text"]))
-            low = np.zeros((3, len(table)), np.int64)
-            if len(words):
-                start = np.arange(len(words))
-                row = np.searchsorted(words.first, start, "right") - 1
-                key = range_hash(prefix_hash(words.hash, WORD_BASE), start, np.minimum(start + 5, words.first[row + 1]), WORD_BASE)
-                some = np.flatnonzero(np.diff(words.first))
-                for i in range(3):
-                    low[i, some] = np.minimum.reduceat(mix(key + U64(i)), words.first[some]).view(np.int64)
-            yield from pa.table({"doc_id": table["doc_id"], "a": low[0], "b": low[1], "c": low[2]}).to_batches()
-
-    seen: list[set[int]] = [set(), set(), set()]
-    fresh = []
-    for doc_id, *signs in sample.select("doc_id", "text").mapInArrow(sign, "doc_id long, a long, b long, c long").orderBy("doc_id").collect():  # four numbers for each row of the sample
-        if not any(x in s for x, s in zip(signs, seen, strict=True)):
-            fresh.append((doc_id,))
-        for x, s in zip(signs, seen, strict=True):
-            s.add(x)
-    sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(fresh, "doc_id long")), "doc_id").select("doc_id", "toxic", "text")
+    picked = _examples(docs, known.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), per_class)
+    sample = checkpointed(docs.join(F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")), "doc_id").select("doc_id", "toxic", "text"))
 
     def tally(batches):
         found: dict[int, list[np.ndarray]] = {0: [], 1: []}

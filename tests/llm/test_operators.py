@@ -278,6 +278,29 @@ def test_toxicity(spark, labelled, docs, nothing):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_examples_pass_over_near_copies_only(spark):
+    rng = random.Random(9)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    licence, long = say(60), say(300)
+    texts, toxic = [], []
+    for i in range(60):  # a shared passage: a Jaccard similarity of about 0.45
+        texts.append(say(20) + licence + say(20))
+        toxic.append(i % 2)
+    for i in range(40):  # near copies of one text, of both classes
+        k = rng.randrange(300)
+        texts.append([*long[:k], f"edit{i}", *long[k + 1 :]])
+        toxic.append(i % 2)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    ids = lambda n: sorted(toxicity.learn(docs, labels, per_class=n).index.ids.tolist())
+    got = ids(100)
+    assert got[:60] == list(range(60)) and sorted(toxic[i] for i in got[60:]) == [0, 1]
+    for n in (4, 25, 31):  # filled up, in several rounds
+        got = ids(n)
+        assert [sum(toxic[i] == c for i in got) for c in (0, 1)] == [n, n]
+        assert all(sum(i >= 60 and toxic[i] == c for i in got) <= 1 for c in (0, 1))
+
+
 # 7. language
 
 
