@@ -6,6 +6,9 @@
 * The mix is made of blocks of ``block`` words. Blocks go to sources, and within
   a source to its shards (documents dealt by a seeded hash, about
   ``shard_words`` words each), by the highest quotients target / (2k + 1).
+* With ``fine``, a source with a target below ``fine`` blocks has smaller blocks
+  of its own, ``fine`` to its target or single words, so that its words come near
+  the target however small it is; the others share the remaining blocks.
 * In a shard, documents stand in seeded order and their words form one stream of
   blocks. Each block is taken as often as the quota has whole rounds; the rest
   of the quota is drawn by a seeded permutation of the block numbers. So no word
@@ -80,6 +83,18 @@ def seats(shares: list[float], n: int, caps: list[int]) -> list[int]:
     return out
 
 
+def quotas(sizes: list[int], aims: list[float], total: float, most: int, block: int, fine: int | None) -> tuple[list[int], list[int]]:
+    """Block size and number of blocks of each source."""
+    blocks = [block if fine is None else max(1, min(block, int(a / fine))) for a in aims]
+    caps = [most * math.ceil(s / b) for s, b in zip(sizes, blocks, strict=True)]
+    out = [c if a >= most * s else min(c, math.floor(a / b + 0.5)) for s, a, b, c in zip(sizes, aims, blocks, caps, strict=True)]
+    large = [i for i, b in enumerate(blocks) if b == block]
+    left = total - sum(a for a, b in zip(aims, blocks, strict=True) if b < block)
+    for i, n in zip(large, seats([aims[i] for i in large], math.floor(left / block + 0.5), [caps[i] for i in large]), strict=True):
+        out[i] = n
+    return blocks, out
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -94,6 +109,7 @@ def mix(
     max_sources: int = 1_000_000,
     keep: tuple[str, ...] = (),
     size_col: str | None = None,
+    fine: int | None = None,
 ) -> DataFrame:
     """size_col: a column with the number of words, where it is known; text_col
     isn't read then. Returns doc_id, source, size, source_size, target, taken, spans (ranges of
@@ -113,10 +129,10 @@ def mix(
     sizes = [r["source_size"] for r in per]
     total = sum(sizes)
     aims = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(per))], share * total, most)
-    quotas = seats(aims, math.floor(share * total / block + 0.5), [most * math.ceil(s / block) for s in sizes])
+    blocks, numbers = quotas(sizes, aims, share * total, most, block, fine)
     plan = spark.createDataFrame(
-        [(r["source"], s, a, q, max(1, math.ceil(s / shard_words))) for r, s, a, q in zip(per, sizes, aims, quotas, strict=True)],
-        T.StructType([T.StructField("source_", docs.schema[source_col].dataType)]).add("source_size", "long").add("target", "double").add("quota", "long").add("shards", "long"),
+        [(r["source"], s, a, b, q, max(1, math.ceil(s / shard_words))) for r, s, a, b, q in zip(per, sizes, aims, blocks, numbers, strict=True)],
+        T.StructType([T.StructField("source_", docs.schema[source_col].dataType)]).add("source_size", "long").add("target", "double").add("block", "long").add("quota", "long").add("shards", "long"),
     )
 
     def dealt(df: DataFrame) -> DataFrame:
@@ -125,6 +141,7 @@ def mix(
     def share_out(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard").reset_index(drop=True)
         words = [int(x) for x in pdf["words"]]
+        block = int(pdf["block"].iloc[0])
         caps = [most * math.ceil(x / block) for x in words]
         got = seats([float(x) for x in words], int(pdf["quota"].iloc[0]), caps)
         out = pdf[["source", "shard"]].copy()
@@ -137,19 +154,19 @@ def mix(
         return out
 
     kind = docs.schema[source_col].dataType.simpleString()
-    shards = dealt(sized).groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
+    shards = dealt(sized).groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first("block").alias("block"))
     drawn = shards.groupBy("source").applyInPandas(share_out, f"source {kind}, shard long, times long, extra long, blocks long, step long, shift long").select(F.col("source").alias("source_"), F.col("shard").alias("shard_"), "times", "extra", "blocks", "step", "shift")
     rows = dealt(rows)
     rows = rows.join(drawn, rows["source"].eqNullSafe(drawn["source_"]) & (rows["shard"] == drawn["shard_"]))
     order = W.partitionBy("source", "shard").orderBy(draw(seed + 1, "doc_id"), "doc_id", "size")
     found = rows.withColumn("end", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    a, e, b = F.col("end") - F.col("size"), F.col("end"), F.lit(block).cast("long")
+    a, e, b = F.col("end") - F.col("size"), F.col("end"), F.col("block")
 
     def span(j):
         times = F.col("times") + F.when(F.pmod(F.col("step") * j + F.col("shift"), F.col("blocks")) < F.col("extra"), 1).otherwise(0)
         return F.struct((F.greatest(a, j * b) - a).alias("first"), (F.least(e, (j + 1) * b) - a).alias("end"), times.alias("times"))
 
-    blocks = F.when(F.col("size") > 0, F.sequence(F.floor(a / b).cast("long"), F.floor((e - 1) / b).cast("long"))).otherwise(F.array().cast("array<long>"))
-    spans = F.filter(F.transform(blocks, span), lambda s: s["times"] > 0)
+    places = F.when(F.col("size") > 0, F.sequence(F.floor(a / b).cast("long"), F.floor((e - 1) / b).cast("long"))).otherwise(F.array().cast("array<long>"))
+    spans = F.filter(F.transform(places, span), lambda s: s["times"] > 0)
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + (s["end"] - s["first"]) * s["times"])
     return found.withColumn("spans", spans).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "spans", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)))

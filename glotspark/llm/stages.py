@@ -68,8 +68,8 @@ def cut_text(raw: bytes, words: Words, row: int, spans: list[dict]) -> str:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document; documents of which it takes nothing
-    go, unless they have no words at all. Sizes and ranges are shuffled, texts
-    stay in their slabs."""
+    go, unless they have no words at all. Blocks have 256 words, fewer in small
+    sources. Sizes and ranges are shuffled, texts stay in their slabs."""
     keep = _others(docs)
     slabs = Slabs(docs, "doc_id", "text", keep)
     source = f"keep_{keep.index('source')}"
@@ -83,17 +83,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             trim()
 
     sized = slabs.rows.mapInArrow(measure, "slab long, row long, doc_id long, source string, size long")
-    mixed = mixing.mix(checkpointed(sized), size_col="size", keep=("slab", "row"), block=256)
+    mixed = mixing.mix(checkpointed(sized), size_col="size", keep=("slab", "row"), block=256, fine=16)
     wanted = mixed.filter("taken > 0 or size = 0").select("slab", "row", "spans")
     names = ["doc_id", *(f"keep_{i}" for i in range(len(keep)))]
     schema = T.StructType().add("doc_id", "long")
     for i, c in enumerate(keep):
         schema = schema.add(f"keep_{i}", docs.schema[c].dataType)
     schema = schema.add("text", "string")
-    nothing = pa.table({"x": [0]}).slice(0, 0)
+    nothing = docs.select("doc_id", *(docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)), "text").limit(0).toArrow()
 
     def cut(no: int, slab: Slab | None, want: pa.Table) -> pa.Table:
-        if slab is None:
+        if slab is None:  # no document of the slab is wanted
             return nothing
         words, raw = Words(slab.data, slab.offs, hashed=False), slab.data.tobytes()
         known = slab.table["text"].is_valid().to_pylist()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from glotspark.llm import mixing, stages
 from tests.conftest import SF
 from tests.llm import fixtures as fx
 
@@ -50,6 +51,24 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in packed} == {r.doc_id for r in mixed}
 
 
+def test_small_sources_stay_in_the_mix(spark, folder):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(400)), "en", "large") for i in range(40)]
+    rows += [(100 + i, " ".join(f"t{i}x{k}" for k in range(i + 1)), "en", f"tiny{i:02}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    taken = {r.source: r.n for r in stages.mix_sources(spark, docs, folder).groupBy("source").agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).collect()}
+    target = {r.source: r.target for r in mixing.mix(docs).collect()}
+    assert set(taken) == set(target)
+    assert all(abs(taken[s] - target[s]) <= (0.5 if s != "large" else 2 * 256) for s in target)
+
+
+def test_a_slab_of_which_nothing_is_wanted(spark, folder):
+    rows = [(i, " ".join(["w"] * 600), "en", "b") for i in range(40)] + [(100, "t", "en", "a"), (200 , "u", "en", "b")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([rows[:-1], rows[-1:]], 2).flatMap(list), "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    wanted = mixing.mix(docs, block=256, fine=16).filter("taken > 0")
+    got = {r.doc_id for r in stages.mix_sources(spark, docs, folder).collect()}
+    assert got == {r.doc_id for r in wanted.collect()}
+
+
 def test_empty_and_run(spark, folder):
     nothing = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
