@@ -191,10 +191,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Removes each byte that a string of ``window`` bytes covers which also
     starts in a document with a smaller id.
 
-    The suffixes that can tie with another for ``window`` bytes are known from
-    the ranks (equal or not) of the cover sample; only they are sorted, one of
-    ``buckets`` buckets of suffixes at a time, each in ranges that a task holds,
-    so that memory and shuffle files stay bounded by a bucket.
+    Not by a suffix array: as in ``substring_dedup``, hashed anchors tell which
+    windows can be repeated, and these are compared by hash, one of ``buckets``
+    ranges of hashes at a time, so that memory and shuffle files stay bounded.
 
     Returns doc_id, n_bytes, n_removed, spans (of removed bytes) and content
     (the remaining bytes). See the module for edge cases.
