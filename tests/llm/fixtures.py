@@ -127,3 +127,36 @@ def sha(text: str | bytes) -> str:
 
 def bag(rows) -> Counter:
     return Counter(tuple(r) for r in rows)
+
+
+def _mixed(x: int) -> int:
+    top = 2**64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % top
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % top
+    return x ^ x >> 31
+
+
+def simhashes(corpus: list[str | None], texts: list[str | None]) -> list[str]:
+    """Fingerprints of texts with the document frequencies of the corpus."""
+    import math
+
+    import pyarrow as pa
+
+    from glotspark.llm import kernels, simhash
+
+    number = lambda w: int(kernels.Words(*kernels.text_bytes(pa.array([w]))).hash[0])
+    cut = lambda t: Counter(WORD.findall(t or ""))
+    df: Counter = Counter()
+    for t in corpus:
+        df.update(number(w) % simhash.TABLE for w in cut(t))
+    out = []
+    for t in texts:
+        votes = [0] * 128
+        for w, n in cut(t).items():
+            x = number(w)
+            weight = min(4095, max(1, round(8 * (1 + math.log(n)) * (math.log((len(corpus) + 1) / (df[x % simhash.TABLE] + 1)) + 0.1))))
+            raw = b"".join(_mixed((x + 2 * k + 1) % 2**64).to_bytes(8, "little") for k in (0, 1))
+            for i in range(128):
+                votes[i] += weight if raw[i // 8] >> (7 - i % 8) & 1 else -weight
+        out.append(sum((v > 0) << (127 - i) for i, v in enumerate(votes)).to_bytes(16, "big").hex())
+    return out

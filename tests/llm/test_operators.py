@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,8 +19,10 @@ from glotspark.llm import graph, kernels, langid, lines, mixing, near, packing,
 from glotspark.llm.queries import OP9_SQL
 from tests.llm import fixtures as fx
 
-public_tokenizers = pytest.importorskip("public_tokenizers")
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 
 @pytest.fixture(scope="module")
@@ -43,11 +47,11 @@ def bare(rows):
 # 1. packing
 
 
-def test_packing(docs, rows, nothing):
+def test_packing(docs, rows, nothing, tokenizer):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(TOKENIZER)
-    got = packing.pack(docs, TOKENIZER, capacity=256, group_size=16).collect()
+    tok = Tokenizer.from_file(tokenizer)
+    got = packing.pack(docs, tokenizer, capacity=256, group_size=16).collect()
     ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, (_, t) in enumerate(bare(rows))}
     want = fx.bag((rows[i][0], a, len(x[a : a + 256]), zlib.crc32(x[a : a + 256].tobytes()), len(x)) for i, x in ids.items() for a in range(0, len(x), 256))
     assert fx.bag((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
@@ -60,8 +64,8 @@ def test_packing(docs, rows, nothing):
             assert p.offset == at
             at += p.length
         assert at <= 256 and {p.sequence_length for p in pieces} == {at} and {p.padded_length for p in pieces} == {packing.padded(at, 256)}
-    assert fx.bag(got) == fx.bag(packing.pack(docs, TOKENIZER, capacity=256, group_size=16).collect())
-    assert packing.pack(nothing, TOKENIZER).count() == 0
+    assert fx.bag(got) == fx.bag(packing.pack(docs, tokenizer, capacity=256, group_size=16).collect())
+    assert packing.pack(nothing, tokenizer).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -77,11 +81,12 @@ def test_first_fit_decreasing(lengths):
         bins[at] += lengths[i]
 
 
-def test_special_strings_and_memo(rows):
-    encoder = packing.Encoder(TOKENIZER, room=50)
+def test_special_strings_and_memo(rows, tokenizer):
+    encoder = packing.Encoder(tokenizer, room=50)
     texts = ["Don't stop.. it's 12.5, x.", "<|endoftext|> a", "<|ENDOFTEXT|> a", "", "Straße, ΟΔΟΣ. été. 1st, 2., ..., .,.", *(t or "" for _, t in bare(rows))]
     for _ in range(2):
-        assert encoder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids, edges = encoder.encode(*kernels.text_bytes(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(edges)] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 # 2. n-gram Jaccard join
@@ -211,12 +216,18 @@ def test_simhash(docs, rows, nothing):
         prints[t or ""].add(by[i].fingerprint)
     assert all(len(p) == 1 for p in prints.values())
     ordered = sorted(alone, reverse=True)
+    prints = fx.simhashes([t for _, t in bare(rows)], [t for _, t in bare(rows)])
+    want = {(i, t): p for (i, t), p in zip(bare(rows), prints, strict=True)}
+    assert fx.bag((r.doc_id, r.fingerprint) for r in got) == fx.bag((i, p) for (i, _), p in want.items() for _ in range(sum(x == (i, _) for x in bare(rows))))
     for (i, t), (j, u) in zip(ordered, ordered[1:], strict=False):
         between = [k for k, _ in bare(rows) if k is not None and j < k < i]
         if not between:  # the very next document
             t, u = t or "", u or ""
             edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
             assert by[i].edited_sha256 == fx.sha(edited)
+            assert by[i].edited_fingerprint == fx.simhashes([t for _, t in bare(rows)], [edited])[0]
+            apart = (int(by[i].fingerprint, 16) ^ int(by[i].edited_fingerprint, 16)).bit_count()
+            assert by[i].near_edited == pytest.approx(1 - apart / simhash.BITS)
             apart = (int(by[i].fingerprint, 16) ^ int(by[j].fingerprint, 16)).bit_count()
             assert by[i].near_next == pytest.approx(1 - apart / simhash.BITS)
     assert simhash.probe(nothing).count() == 0
@@ -224,6 +235,35 @@ def test_simhash(docs, rows, nothing):
     assert len(one) == 1 and one[0].near_next == 1
 
 
+def test_fingerprints_alone_and_in_company():
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 30))) for _ in range(800)] + [" ".join(f"v{i}" for i in range(9000))]
+    weights = simhash.Weights(1000, np.where(np.arange(simhash.TABLE) % 3 == 0, 1, 7))
+    print_of = lambda some: simhash.fingerprints(*kernels.text_bytes(pa.array(some)), weights)
+    together = print_of(texts)
+    assert all((print_of([t])[0] == p).all() for t, p in zip(texts, together, strict=True))
+    assert (print_of(texts[::-1])[::-1] == together).all()
+
+
+def test_probe_over_many_partitions_and_one_id(spark):
+    rng = random.Random(9)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(0, 25)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, before = None, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("4", "1", "90"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = fx.bag(simhash.probe(df.repartition(3 + int(parts) // 30)).collect())
+            assert want in (None, got)
+            want = got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    key = lambda r: (-(r[0] if r[0] is not None else simhash.FIRST), int(simhash._text_key(*kernels.text_bytes(pa.array([r[1]])))[0]))
+    ordered = sorted(rows, key=key)
+    edited = [(i, fx.sha(t[: len(t) - len(t) // 2] + n[: len(t) // 2])) for (i, t), (_, n) in zip(ordered, [*ordered[1:], ordered[0]], strict=True)]
+    assert fx.bag((r[0], r[2]) for r in want.elements()) == fx.bag(edited)
+
+
 def test_permuted_block_tables(spark):
     rng = random.Random(6)
     prints = [rng.getrandbits(128) for _ in range(40)] + [0]
