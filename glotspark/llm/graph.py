@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glotspark.llm.shared import checkpointed
+from glotspark.llm.shared import checkpointed, planned_at_once, release
 
+#: A key counts as hot if it has more than this many rows and more than one in
+#: HOT_SHARE of all; so there are fewer than HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE, SPREAD = 200, 1000, 1009
+#: Members that one task compares with each other; larger components have at
+#: least so many tiles (or so many members a tile) that a hot one runs in parallel.
+LONE, TILES, LEAST_TILE = 128, 24, 32
 
-SALTS = 16
 
+def hot_floor(rows: int) -> int:
+    return max(HOT_ROWS, rows // HOT_SHARE)
 
-def _handed(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """Each edge (a, b) as (b, least of a). A node may have a large share of all
-    edges: they meet its least node in SALTS places."""
-    salted = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    spread = least.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    met = salted.join(spread, (F.col("a") == F.col("k")) & (F.col("s") == F.col("z")))
+
+def looked_up(rows: DataFrame, key: str, spread: str, table: DataFrame, floor: int) -> DataFrame:
+    """rows with m from table (k, m and d, the number of rows with that key) where
+    key equals k; null where there is none. Keys with more than ``floor`` rows are
+    looked up in a broadcast of fewer than HOT_SHARE rows, and their rows are
+    spread in the join, so that no key makes a task grow."""
+    hot = F.broadcast(table.filter(F.col("d") > floor).select(F.col("k").alias("hot_k"), F.col("m").alias("hot_m")))
+    at = F.when(F.col("hot_k").isNull(), F.col(key)).otherwise(-1 - F.pmod(F.xxhash64(spread), F.lit(SPREAD)))
+    marked = rows.join(hot, F.col(key) == F.col("hot_k"), "left").withColumn("at_k", at)
+    met = marked.join(table.select("k", "m"), F.col("at_k") == F.col("k"), "left")
+    found: Column = F.when(F.col("hot_k").isNotNull(), F.col("hot_m")).otherwise(F.col("m"))
+    return met.select(*rows.columns, found.alias("m"))
+
+
+def _handed(edges: DataFrame, least: DataFrame, floor: int) -> DataFrame:
+    """Each edge (a, b) as (b, least of a)."""
+    met = looked_up(edges, "a", "b", least, floor)
     return met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
@@ -26,21 +44,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: each node hands its larger, then
     its smaller neighbours to the least node that it knows. Rounds grow with the
-    logarithm of the graph, and each is checkpointed.
+    logarithm of the graph; each is one job over a checkpoint. A node may have a
+    large share of all edges (see looked_up).
     """
-    now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = _handed(both.filter("b > a"), least)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = _handed(large, low.withColumnRenamed("a", "k"))
-        after = checkpointed(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        then = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now, done, mark = after, then == mark, then
-        if done:
-            break
+    with planned_at_once(edges.sparkSession):
+        now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        while mark[0]:
+            floor = hot_floor(2 * mark[0])
+            both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"), "d")
+            large = _handed(now.select(F.col("b").alias("a"), F.col("a").alias("b")), least, floor)
+            low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")).withColumnRenamed("a", "k")
+            small = _handed(large, low, floor)
+            after = checkpointed(small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
+            then = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            now, done, mark = after, then == mark, then
+            del both, least, large, low, small, after
+            release(edges.sparkSession)  # shuffle files of the round
+            if done:
+                break
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -48,13 +71,17 @@ def components(edges: DataFrame) -> DataFrame:
 def candidates(keyed: DataFrame, tile: int) -> DataFrame:
     """keyed: cid and key, many keys for each cid. Ties each bucket of equal keys
     to its least member and returns, for every cid that shares a bucket: node,
-    root (its component), tiles (of about ``tile`` members each) and t (its own)."""
-    tied = keyed.groupBy("key").agg(F.min("cid").alias("b"), F.max("cid").alias("c")).filter("b < c").select(F.col("key").alias("k"), "b")
-    ties = keyed.join(tied, F.col("key") == F.col("k")).filter("cid <> b").select(F.col("cid").alias("a"), "b")
+    root (its component), tiles (of ``tile`` members at most or so) and t (its own)."""
+    floor = hot_floor(keyed.count())
+    tied = keyed.groupBy("key").agg(F.min("cid").alias("m"), F.max("cid").alias("c"), F.count("*").alias("d")).filter("m < c").select(F.col("key").alias("k"), "m", "d")
+    with planned_at_once(keyed.sparkSession):
+        ties = checkpointed(looked_up(keyed, "key", "cid", tied, floor).filter("cid <> m").select(F.col("cid").alias("a"), F.col("m").alias("b")).distinct())
+    release(keyed.sparkSession)
     found = components(ties)
-    sizes = found.groupBy("root").agg(F.count("*").alias("m")).withColumnRenamed("root", "r")
-    found = found.join(sizes, F.col("root") == F.col("r")).withColumn("tiles", F.ceil(F.col("m") / tile))
-    return found.select("node", "root", "tiles", F.pmod(F.xxhash64("node"), "tiles").alias("t"))
+    sizes = found.groupBy("root").agg(F.count("*").alias("m")).select(F.col("root").alias("k"), "m", F.col("m").alias("d"))
+    tiles = F.when(F.col("m") <= min(LONE, tile), 1).otherwise(F.greatest(F.ceil(F.col("m") / tile), F.least(F.lit(TILES), F.ceil(F.col("m") / LEAST_TILE))))
+    met = looked_up(found, "root", "node", sizes, hot_floor(2 * ties.count())).withColumn("tiles", tiles.cast("long"))
+    return met.select("node", "root", "tiles", F.pmod(F.xxhash64("node"), "tiles").alias("t"))
 
 
 def in_tiles(members: DataFrame) -> DataFrame:
@@ -62,4 +89,4 @@ def in_tiles(members: DataFrame) -> DataFrame:
     they belong to. side: 0 in a tile with itself, else 1 for rows, 2 for columns."""
     other = members.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     side = F.when(F.col("t") == F.col("o"), 0).when(F.col("t") < F.col("o"), 1).otherwise(2)
-    return other.withColumns({"i": F.least("t", "o"), "j": F.greatest("t", "o"), "side": side}).drop("tiles", "t", "o")
+    return other.withColumns({"i": F.least("t", "o"), "j": F.greatest("t", "o"), "side": side}).drop("t", "o")

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glotspark.llm.graph import candidates, components, in_tiles
+from glotspark.llm.graph import candidates, components, hot_floor, in_tiles, looked_up
 from glotspark.llm.kernels import NULL_ID, U64, WORD_BASE, Words, mix, prefix_hash, range_hash
-from glotspark.llm.shared import checkpointed
+from glotspark.llm.shared import checkpointed, release
 from glotspark.llm.slabs import Slab, Slabs
 
 
@@ -119,29 +119,34 @@ def verified(sets: list[np.ndarray], cols: list[np.ndarray] | None, threshold: f
         yield i, low + np.flatnonzero(both >= threshold * (size[low:] + len(mine) - both) - 1e-9)
 
 
-FOUND = "a long, b long, n long"
+FOUND = "a long, b long, n long, root long"
 
 
 def _tile(table: pa.Table, threshold: float) -> pa.Table:
-    """Rows (class, null, links) and, of a forest of the links, (a, b, null)."""
+    """Rows (class, null, links, root) and, of a forest of the links, (a, b, null,
+    null). A component in one tile is settled here: its classes get the least
+    class of their group as root, and its forest isn't needed."""
     ids = table["cid"].to_numpy()
     side = table["side"].to_numpy()
+    alone = table["tiles"][0].as_py() == 1
     sets = [np.frombuffer(x, U64) for x in table["grams"].to_pylist()]
     order = np.argsort(ids, kind="stable")
     first = [i for i in order if side[i] != 2]
     second = [i for i in order if side[i] == 2]
+    place = {x: k for k, x in enumerate(order.tolist())}  # so that a root is the least class
     forest, links, a, b = _Forest(len(ids)), np.zeros(len(ids), np.int64), [], []
     pool = first if not second else second
     for i, found in verified([sets[i] for i in first], [sets[i] for i in second] if second else None, threshold):
         for j in found.tolist():
             x, y = first[i], pool[j]
-            if forest.tie(x, y):
+            if forest.tie(place[x], place[y]) and not alone:
                 a.append(ids[x])
                 b.append(ids[y])
         links[first[i]] += len(found)
         np.add.at(links, np.array(pool)[found], 1)
     m = len(ids)
-    return pa.table({"a": pa.array([*ids.tolist(), *a], pa.int64()), "b": pa.array([None] * m + b, pa.int64()), "n": pa.array(links.tolist() + [None] * len(a), pa.int64())})
+    roots = [int(ids[order[forest.root(place[x])]]) if alone else None for x in range(m)]
+    return pa.table({"a": pa.array([*ids.tolist(), *a], pa.int64()), "b": pa.array([None] * m + b, pa.int64()), "n": pa.array(links.tolist() + [None] * len(a), pa.int64()), "root": pa.array(roots + [None] * len(a), pa.int64())})
 
 
 class NearDuplicates:
@@ -177,14 +182,16 @@ class NearDuplicates:
 
         sent = self.slabs.meet(wanted, send, "cid long, root long, tiles long, t long, grams binary")
         links = checkpointed(in_tiles(sent).groupBy("root", "i", "j").applyInArrow(lambda table: _tile(table, threshold), FOUND))
+        release(self.slabs.spark)  # shuffle files with the sets
         self.links = links.filter("b is null").groupBy(F.col("a").alias("cid_")).agg(F.sum("n").alias("n_links"))
-        self.groups = components(links.filter("b is not null").select("a", "b"))
+        spread = components(links.filter("b is not null").select("a", "b"))
+        self.groups = spread.unionByName(links.filter("root is not null").select(F.col("a").alias("node"), "root"))
 
     def _with_groups(self) -> DataFrame:
         """Classes with the least document of their group."""
-        joined = self.classes.select("cid", "s1", "s2", "n", "doc_id", "slab", "row").join(self.groups, F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid"))
-        first = joined.groupBy("group").agg(F.min(F.struct("doc_id", "slab", "row")).alias("first")).withColumnRenamed("group", "g")
-        return joined.join(first, F.col("group") == F.col("g"))
+        joined = self.classes.select("cid", "s1", "s2", "n", "doc_id", "slab", "row").join(self.groups, F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid")).drop("node", "root")
+        first = joined.groupBy("group").agg(F.min(F.struct("doc_id", "slab", "row")).alias("m"), F.count("*").alias("d")).withColumnRenamed("group", "k")
+        return looked_up(joined, "group", "cid", first, hot_floor(self.classes.count())).withColumnRenamed("m", "first")
 
     def table(self) -> DataFrame:
         """Per row: doc_id, class_id (least doc_id with an equal set), n_links (of

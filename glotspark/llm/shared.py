@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -45,21 +46,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def laid_out(df, key: str):
-    """df hash partitioned by key in the shared folder, so that a later grouping
-    by key reads its partitions where they are. Adaptive planning is off for
-    this one step, as its plans don't say how their rows are partitioned."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+@contextmanager
+def planned_at_once(spark: SparkSession):
+    """Adaptive planning is off meanwhile: such plans say how their rows are
+    partitioned, and a job of many small steps is one plan, not one for each."""
     name = "spark.sql.adaptive.enabled"
     before = spark.conf.get(name)
     spark.conf.set(name, "false")
     try:
-        return checkpointed(df.repartition(n, key))
+        yield
     finally:
         spark.conf.set(name, before)
 
 
+def laid_out(df, key: str):
+    """df hash partitioned by key in the shared folder, so that a later grouping
+    by key reads its partitions where they are."""
+    spark = df.sparkSession
+    with planned_at_once(spark):
+        return checkpointed(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key))
+
+
 def written(df):
     """df as Parquet in the shared folder, read again."""
     spark = df.sparkSession
