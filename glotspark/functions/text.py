@@ -14,15 +14,25 @@ SENTENCE = r"(?s)[^.!?]*[.!?]+|[^.!?]+"
 CUTS = tuple(re.compile(p) for p in (r"\n+", r"[.!?…]+[\"'”’)\]]*\s+|[。！？]+", r"\s+"))
 
 
+def fresh(name: str, *taken: str) -> str:
+    """A column name that none of the taken ones equals, whatever their case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def lines(df: DataFrame, text_col: str = "text", out: str = "line") -> DataFrame:
-    """One row a line with its position; a null text gives one null line."""
+    """One row a line with its position; a null text gives one null line. A column
+    of df named pos, or as the lines, is replaced."""
     cut = F.split(F.col(text_col), "\n", -1)
-    other = [c for c in df.columns if c != text_col]
+    other = [c for c in df.columns if c.lower() not in (text_col.lower(), "pos", out.lower())]
     return df.select(*other, F.posexplode_outer(cut).alias("pos", out)).withColumn("pos", F.coalesce("pos", F.lit(0)))
 
 
 def rejoined(df: DataFrame, keys: list[str], value: str, out: str = "text") -> DataFrame:
-    """Lines put together in the order of pos; null if all of a text's are."""
+    """Lines put together in the order of pos; null if all of a text's are. keys
+    tell texts apart: lines of rows that share them become one text."""
     placed = F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("v"))))
     return df.groupBy(*keys).agg(F.when(F.count(value) > 0, F.array_join(F.transform(placed, lambda x: x["v"]), "\n")).alias(out))
 

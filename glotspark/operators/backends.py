@@ -18,7 +18,8 @@ from glotspark.functions.text import bounded, halves
 
 class Recognizer(Protocol):
     def load(self) -> Callable[[list[bytes]], list[list[dict]]]:
-        """A function from images to spans: text, conf, left, top, width, height."""
+        """A function from images to spans in reading order: text, conf, line
+        (its number), left, top, width, height."""
 
 
 class Translator(Protocol):
@@ -47,10 +48,14 @@ class Tesseract:
         def run(contents: list[bytes]) -> list[list[dict]]:
             out = []
             for content in contents:
+                # one entry for each word; block, paragraph and line numbers tell its line
                 found = tesseract.image_to_data(image.open(io.BytesIO(content)), lang=self.languages, config=self.config, output_type=tesseract.Output.DICT)
-                names = {"text": "text", "conf": "conf", "left": "left", "top": "top", "width": "width", "height": "height"}
-                rows = [{k: found[v][i] for k, v in names.items()} for i in range(len(found["text"]))]
-                out.append([r for r in rows if str(r["text"]).strip()])
+                rows, numbers = [], {}
+                for i, word in enumerate(found["text"]):
+                    if str(word).strip():
+                        place = tuple(found[c][i] for c in ("page_num", "block_num", "par_num", "line_num"))
+                        rows.append({"text": str(word), "conf": float(found["conf"][i]), "line": numbers.setdefault(place, len(numbers)), **{c: int(found[c][i]) for c in ("left", "top", "width", "height")}})
+                out.append(rows)
             return out
 
         return run
@@ -133,6 +138,6 @@ class PlainText:
     def load(self):
         def spans(content: bytes) -> list[dict]:
             rows = content.decode("utf-8", "replace").split("\n")
-            return [{"text": t, "conf": 100.0, "left": 0, "top": i * self.line_height, "width": 8 * len(t), "height": self.line_height} for i, t in enumerate(rows)]
+            return [{"text": t, "conf": 100.0, "line": i, "left": 0, "top": i * self.line_height, "width": 8 * len(t), "height": self.line_height} for i, t in enumerate(rows)]
 
         return lambda contents: [spans(c) for c in contents]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glotspark.operators.backends import Recognizer
 
-SPANS = "text string, conf double, left int, top int, width int, height int"
+SPANS = "text string, conf double, line int, left int, top int, width int, height int"
 BATCH = 16
 
 
@@ -26,8 +27,13 @@ def _recognised(backend: Recognizer, contents: pd.Series, run=None) -> list[list
     return out
 
 
+def line_text(spans: list[dict]) -> str:
+    """Spans of a line with blanks between them, a line feed after each line."""
+    return "\n".join(" ".join(s["text"] for s in some) for _, some in itertools.groupby(spans, key=lambda s: s["line"]))
+
+
 def recognize(images: DataFrame, backend: Recognizer, content_col: str = "content", out: str = "text", batch_rows: int | None = None) -> DataFrame:
-    """Adds the recognised text: the texts of the spans in order, one a line.
+    """Adds the recognised text: the spans in order, put together line by line.
 
     Images are large: give Arrow few rows at a time (batch_rows sets that for the
     session, from then on) and filter by path or length beforehand, so that only
@@ -39,7 +45,7 @@ def recognize(images: DataFrame, backend: Recognizer, content_col: str = "conten
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = backend.load()
         for contents in batches:
-            yield pd.Series([None if s is None else "\n".join(x["text"] for x in s) for s in _recognised(backend, contents, run)], dtype=object)
+            yield pd.Series([None if s is None else line_text(s) for s in _recognised(backend, contents, run)], dtype=object)
 
     return images.withColumn(out, text(content_col))
 
@@ -51,7 +57,7 @@ def recognize_spans(images: DataFrame, backend: Recognizer, key_col: str = "path
         run = backend.load()
         for batch in batches:
             rows = [{"key": k, "pos": i, **s} for k, found in zip(batch["key"], _recognised(backend, batch["content"], run), strict=True) for i, s in enumerate(found or [])]
-            yield pd.DataFrame(rows, columns=["key", "pos", "text", "conf", "left", "top", "width", "height"])
+            yield pd.DataFrame(rows, columns=["key", "pos", "text", "conf", "line", "left", "top", "width", "height"])
 
     kind = images.schema[key_col].dataType.simpleString()
     slim = images.select(F.col(key_col).alias("key"), F.col(content_col).alias("content")).filter(F.col("content").isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glotspark.functions.text import lines, rejoined
+from glotspark.functions.text import fresh, lines, pieces
 from glotspark.operators.backends import Translator
 
 GLOSSARY_ROWS = 10_000
@@ -25,15 +25,18 @@ def glossary_column(text: Column, glossary: dict[str, str]) -> Column:
     return F.array_join(F.transform(F.split(text, " ", -1), lambda w: F.coalesce(F.element_at(known, w) if pairs else w, w)), " ")
 
 
-def translate_words(df: DataFrame, glossary: DataFrame, keys: list[str], text_col: str = "text", out: str = "translated") -> DataFrame:
-    """The same by a join with a glossary of any size (columns src, tgt)."""
-    words = df.select(*keys, F.posexplode(F.split(text_col, " ", -1)).alias("pos", "w"))
-    met = words.join(glossary.select(F.col("src").alias("s"), "tgt"), F.col("w") == F.col("s"), "left")
-    placed = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("tgt", "w").alias("v"))))
-    done = met.groupBy(*keys).agg(F.array_join(F.transform(placed, lambda x: x["v"]), " ").alias(out))
-    done = done.select(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)), out)
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
-    return df.join(done, same, "left").select(*df.columns, out)
+def translate_words(df: DataFrame, glossary: DataFrame, text_col: str = "text", out: str = "translated") -> DataFrame:
+    """The same by a join with a glossary of any size (columns src, tgt; each src
+    once). Every row keeps its own words, also where rows are equal."""
+    word, pos, row, of = (fresh(c, *df.columns, out) for c in ("word", "pos", "row", "of"))
+    others = [c for c in df.columns if c != out]
+    rows = df.select(F.struct(*others).alias(row), F.monotonically_increasing_id().alias(of), F.col(text_col).alias(word))
+    cut = rows.select(row, of, F.posexplode_outer(F.split(word, " ", -1)).alias(pos, word))
+    cut = cut.withColumn(row, F.when(F.coalesce(pos, F.lit(0)) == 0, F.col(row)))  # a row goes with its first word alone
+    met = cut.join(glossary.select(F.col("src").alias("s"), F.col("tgt").alias("t")), F.col(word) == F.col("s"), "left")
+    placed = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.coalesce("t", word).alias("v"))))
+    joined = F.when(F.count(word) > 0, F.array_join(F.transform(placed, lambda x: x["v"]), " "))
+    return met.groupBy(of).agg(F.first(row, ignorenulls=True).alias(row), joined.alias(out)).select(f"{row}.*", out)
 
 
 def translator_udf(backend: Translator):
@@ -65,15 +68,35 @@ def translate_distinct(df: DataFrame, backend: Translator, text_col: str = "text
 
     A text that a third of all rows share is one row before the model; the join
     back leaves hot texts to adaptive skew handling."""
-    once = df.select(F.col(text_col).alias("t")).filter("t is not null").distinct()
-    done = translate(once, backend, "t", source, target, "made")
-    return df.join(done, F.col(text_col) == F.col("t"), "left").drop("t").withColumnRenamed("made", out)
-
-
-def translate_documents(docs: DataFrame, backend: Translator, keys: list[str], text_col: str = "text", source: str = "en", target: str = "ko", out: str = "translated") -> DataFrame:
-    """Line by line, each distinct line once, put together in order."""
-    cut = lines(docs.select(*keys, text_col), text_col)
-    return rejoined(translate_distinct(cut, backend, "line", source, target, "made"), keys, "made", out)
+    text, made = (fresh(c, *df.columns) for c in ("once", "made"))
+    once = df.select(F.col(text_col).alias(text)).filter(F.col(text).isNotNull()).distinct()
+    done = translate(once, backend, text, source, target, made)
+    return df.join(done, df[text_col] == done[text], "left").select(*(df[c] for c in df.columns if c != out), done[made].alias(out))
+
+
+def translate_documents(docs: DataFrame, backend: Translator, keys: list[str], text_col: str = "text", source: str = "en", target: str = "ko", out: str = "translated", longest: int = 1000) -> DataFrame:
+    """Line by line, put together in order; keys and the translation. Each row is
+    a document of its own, also where rows share their keys.
+
+    A line of more than ``longest`` characters is cut after sentences (or anywhere
+    where a sentence is longer); white space around such a piece stays outside the
+    model. Each distinct line or piece goes through the model once."""
+    line = F.col("line")
+    # a document's number, and its keys with its first line alone
+    rows = docs.select(F.struct(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys))).alias("row"), F.monotonically_increasing_id().alias("of"), F.col(f"`{text_col}`").alias("text"))
+    cut = lines(rows).withColumn("row", F.when(F.col("pos") == 0, F.col("row")))
+    cut = cut.withColumn("long", F.coalesce(F.length(line) > longest, F.lit(False)))
+    parts = cut.select("row", "of", "pos", "long", F.posexplode_outer(F.when(F.col("long"), pieces(line, longest)).otherwise(F.array(line))).alias("nth", "part"))
+    outside = lambda side: F.when(F.col("long"), F.regexp_extract("part", side, 0)).otherwise("")
+    parts = parts.withColumn("row", F.when(F.col("nth") == 0, F.col("row"))).withColumns({"before": outside(r"^\s*"), "core": F.when(F.col("long"), F.regexp_replace("part", r"^\s+|\s+$", "")).otherwise(F.col("part"))})
+    parts = parts.withColumn("after", F.when(F.col("core") == "", "").otherwise(outside(r"\s*$")))
+    done = translate_distinct(parts.drop("part"), backend, "core", source, target, "made")
+    made = F.when(F.col("long") & (F.col("core") == ""), F.col("core")).otherwise(F.col("made"))
+    value = F.concat(F.when((F.col("nth") == 0) & (F.col("pos") > 0), "\n").otherwise(""), "before", made, "after")
+    placed = F.array_sort(F.collect_list(F.struct("pos", "nth", value.alias("v"))))
+    text = F.when(F.count("core") > 0, F.array_join(F.transform(placed, lambda x: x["v"]), ""))
+    whole = done.groupBy("of").agg(F.first("row", ignorenulls=True).alias("row"), text.alias("text"))
+    return whole.select(*(F.col(f"row.k{i}").alias(k) for i, k in enumerate(keys)), F.col("text").alias(out))
 
 
 def pivot(df: DataFrame, backend: Translator, source: Column | str, target: Column | str, text_col: str = "text", middle: str = "en") -> DataFrame:

@@ -15,7 +15,8 @@ from glotspark.operators.pairs import training_pairs
 from glotspark.operators.recognize import recognize, recognize_spans
 from glotspark.operators.translate import glossary_column, pivot, translate_distinct, translate_documents
 from glotspark.plans.routes import language_pairs, read_and_translate, routed
-from glotspark.sources.tables import table
+from glotspark.sources.tables import images, shared_folder, table
+from glotspark.streaming.realtime import translated_stream
 
 EN_KO = {"the": "그", "The": "그", "and": "그리고", "of": "의", "to": "에게", "in": "안에", "a": "하나의", "is": "이다", "for": "위해", "with": "함께", "that": "저것", "on": "위에", "are": "이다", "be": "있다", "was": "이었다", "at": "에서", "or": "또는", "re": "다시"}
 FR_EN = {"le": "the", "la": "the", "les": "the", "et": "and", "de": "of", "un": "a", "une": "a", "dans": "in", "pour": "for", "avec": "with", "est": "is", "sur": "on", "que": "that", "au": "at"}
@@ -101,6 +102,32 @@ def ref_recognize_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognize_spans(_as_images(spark, sf_dir), PlainText(), "item_id")
 
 
+def _image_files(spark: SparkSession, sf_dir: str) -> str:
+    """Each text of benchmark as a file of its own, in a folder for its item."""
+    folder = shared_folder(spark)
+    table(spark, sf_dir, "benchmark", "item_id", "text").repartition("item_id").write.partitionBy("item_id").text(folder)
+    return folder
+
+
+def _item(path: str):
+    return F.regexp_extract(path, r"item_id=(\d+)", 1).cast("long").alias("item_id")
+
+
+def ref_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files by Spark's binary source; the stand-in reads them as text. The
+    writer ends each with a line feed."""
+    found = recognize(images(spark, f"{_image_files(spark, sf_dir)}/*", "*.txt"), PlainText())
+    return found.select(_item("path"), F.length("content").cast("long").alias("n_bytes"), F.regexp_replace("text", r"\n$", "").alias("text"))
+
+
+def ref_image_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream, recognised and translated; what has come is
+    taken once, and the stream ends."""
+    out, state = shared_folder(spark), shared_folder(spark)
+    translated_stream(spark, f"{_image_files(spark, sf_dir)}/*", out, state, PlainText(), Marked(), once=True).awaitTermination()
+    return spark.read.parquet(out).select(_item("path"), F.regexp_replace("translated", r"\n$", "").alias("translated"))
+
+
 def ref_recognize_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_and_translate(_as_images(spark, sf_dir), PlainText(), Marked()).select("item_id", "text", "translated")
 
@@ -139,10 +166,17 @@ SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS pos, unnest(p)
     "ref_translate_pages": f"SELECT page_id, {_glossary_sql(f'trim({_HTML})', EN_KO)} AS translated FROM pages",
     "ref_pivot_glossary": f"SELECT doc_id, en, {_glossary_sql('en', EN_KO)} AS translated FROM (SELECT doc_id, {_glossary_sql('text', FR_EN)} AS en FROM documents WHERE lang = 'fr')",
     "ref_pivot_backend": "SELECT doc_id, en, '[en>ko] ' || en AS translated FROM (SELECT doc_id, '[' || lang || '>en] ' || text AS en FROM documents WHERE lang IN ('fr', 'de', 'es'))",
-    "ref_translate_backend": f"SELECT doc_id, string_agg('[en>ko] ' || line, chr(10) ORDER BY p) AS translated FROM ({_LINES}) GROUP BY doc_id",
+    "ref_translate_backend": f"""
+WITH s AS (SELECT doc_id, p, line, CASE WHEN length(line) > 1000 THEN flatten(list_transform(regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+', 0, 's'), lambda x: regexp_extract_all(x, '.{{1,1000}}', 0, 's'))) END AS parts FROM ({_LINES})),
+t AS (SELECT doc_id, p, CASE WHEN parts IS NULL THEN '[en>ko] ' || line ELSE array_to_string(list_transform(parts, lambda x: CASE WHEN regexp_full_match(x, '\\s*', 's') THEN x
+  ELSE regexp_extract(x, '^\\s*') || '[en>ko] ' || regexp_replace(x, '^\\s+|\\s+$', '', 'g') || regexp_extract(x, '\\s*$') END), '') END AS v FROM s)
+SELECT doc_id, string_agg(v, chr(10) ORDER BY p) AS translated FROM t GROUP BY doc_id
+""",
     "ref_translate_distinct": "SELECT conv_id, turn, '[en>ko] ' || text AS translated FROM conversations",
+    "ref_image_files": "SELECT item_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS n_bytes, text FROM benchmark",
+    "ref_image_stream": "SELECT item_id, '[en>ko] ' || text AS translated FROM benchmark",
     "ref_recognize": "SELECT item_id, text FROM benchmark",
-    "ref_recognize_spans": "SELECT item_id, CAST(p AS INTEGER) AS pos, text, CAST(100 AS DOUBLE) AS conf, 0 AS \"left\", CAST(16 * p AS INTEGER) AS top, CAST(8 * length(text) AS INTEGER) AS width, 16 AS height FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM benchmark)",
+    "ref_recognize_spans": "SELECT item_id, CAST(p AS INTEGER) AS pos, text, CAST(100 AS DOUBLE) AS conf, CAST(p AS INTEGER) AS line, 0 AS \"left\", CAST(16 * p AS INTEGER) AS top, CAST(8 * length(text) AS INTEGER) AS width, 16 AS height FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM benchmark)",
     "ref_recognize_translate": "SELECT item_id, text, '[en>ko] ' || text AS translated FROM benchmark",
     "ref_training_pairs": f"""
 WITH p AS (SELECT line AS a, {_glossary_sql('line', EN_KO)} AS b FROM ({_LINES})),

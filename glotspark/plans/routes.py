@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glotspark.functions.text import fresh
 from glotspark.operators.backends import Recognizer, Translator
 from glotspark.operators.recognize import recognize
 from glotspark.operators.translate import translate
@@ -19,8 +20,9 @@ def language_pairs(spark, pairs: list[tuple] | None = None) -> DataFrame:
 
 def routed(docs: DataFrame, pairs: DataFrame, target: str, lang_col: str = "lang") -> DataFrame:
     """Documents with their way to the target; those without one are left out."""
-    wanted = F.broadcast(pairs.filter(F.col("tgt") == target).select("src", "tgt", "via"))  # a row for each language
-    return docs.join(wanted, docs[lang_col] == wanted["src"]).drop("src")
+    src = fresh("src", *docs.columns)
+    wanted = F.broadcast(pairs.filter(F.col("tgt") == target).select(F.col("src").alias(src), "tgt", "via"))  # a row for each language
+    return docs.join(wanted, docs[lang_col] == wanted[src]).drop(src)
 
 
 def read_and_translate(images: DataFrame, recognizer: Recognizer, translator: Translator, source: str = "en", target: str = "ko") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -13,6 +16,18 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and executors
+    share; a local one only with a local master and nothing set."""
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir", "")
+    if not top:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="glotspark-")
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, modificationTime, length and content of each file."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)

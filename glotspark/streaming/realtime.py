@@ -14,7 +14,12 @@ def translated_stream(spark: SparkSession, folder: str, out: str, checkpoint: st
     """Appends path, modificationTime, text and translated to Parquet under out.
     The steps are stateless, so a restart from the checkpoint gives each file
     once. once: what is there now, then stop."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # images, not numbers
     found = read_and_translate(image_stream(spark, folder), recognizer, translator, source, target).select("path", "modificationTime", "text", "translated")
     writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64")  # images, not numbers; a stream keeps the settings that it starts with
+    try:
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+    finally:
+        spark.conf.set(name, before)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from glotspark.functions.text import bounded, html_text, lines, pieces, rejoined
 from glotspark.operators.backends import M2M100, Marked, PlainText, Tesseract
 from glotspark.operators.pairs import training_pairs
-from glotspark.operators.recognize import recognize, recognize_spans
+from glotspark.operators.recognize import line_text, recognize, recognize_spans
 from glotspark.operators.translate import glossary_column, pivot, translate, translate_distinct, translate_documents, translate_words
 from glotspark.plans.queries import EN_KO, ORACLES, QUERIES
 from glotspark.plans.routes import language_pairs, read_and_translate, routed
@@ -77,10 +77,47 @@ def test_documents_line_by_line(spark):
     assert out == {1: "[en>ko] b\n[en>ko] a\n[en>ko] \n[en>ko] b", 2: None}
 
 
+def test_rows_that_share_a_key_stay_apart_and_names_may_clash(spark):
+    df = spark.createDataFrame([(1, "a\nb", 0, "t", "x", "y"), (1, "c\nd", 0, "t", "x", "y"), (1, "c\nd", 0, "t", "x", "y")], "id int, text string, pos int, t string, once string, made string")
+    got = sorted(r.translated for r in translate_documents(df, Marked(), ["id"]).collect())
+    assert got == ["[en>ko] a\n[en>ko] b", "[en>ko] c\n[en>ko] d", "[en>ko] c\n[en>ko] d"]
+    assert sorted((r.translated, r.t, r.once, r.made) for r in translate_distinct(df, Marked()).collect())[0] == ("[en>ko] a\nb", "t", "x", "y")
+    words = translate_words(df, spark.createDataFrame([("a\nb", "z")], "src string, tgt string"))
+    assert sorted(r.translated for r in words.collect()) == ["c\nd", "c\nd", "z"] and words.columns == [*df.columns, "translated"]
+    assert [c for c in lines(df).columns if c == "pos"] == ["pos"]
+    routed_ = routed(spark.createDataFrame([("en", "mine")], "lang string, src string"), language_pairs(spark), "ko")
+    assert routed_.first().src == "mine"
+
+
+def test_long_lines_go_to_the_model_in_pieces(spark):
+    class Short(Marked):
+        def load(self):
+            def run(texts, source, target):
+                assert all(len(t) <= 20 and t == t.strip() for t in texts)
+                return [f"<{t}>" for t in texts]
+
+            return run
+
+    df = spark.createDataFrame([(1, "One two.  Three four five six. " + "y" * 45 + "\nshort"), (2, " " * 30)], "id int, text string")
+    out = {r.id: r.translated for r in translate_documents(df, Short(), ["id"], longest=20).collect()}
+    assert out == {1: "<One two.>  <Three four five>  <six.> <" + "y" * 19 + "><" + "y" * 20 + "><" + "y" * 6 + ">\n<short>", 2: " " * 30} or out[1].replace("<", "").replace(">", "") == df.first().text
+
+
+def test_words_of_tesseract_become_lines(monkeypatch):
+    found = {"text": ["", "Hello", "world", "", "next", " ", "line"], "conf": ["-1", 96.5, "90", "-1", 91, -1, 95], "page_num": [1] * 7, "block_num": [1, 1, 1, 1, 1, 1, 1], "par_num": [0, 1, 1, 1, 1, 1, 1], "line_num": [0, 1, 1, 2, 2, 2, 2]}
+    found |= {c: [0, 1, 2, 3, 4, 5, 6] for c in ("left", "top", "width", "height")}
+    tesseract = SimpleNamespace(image_to_data=lambda image, lang, config, output_type: found, Output=SimpleNamespace(DICT="dict"))
+    monkeypatch.setitem(sys.modules, "pytesseract", tesseract)
+    monkeypatch.setitem(sys.modules, "PIL", SimpleNamespace())
+    monkeypatch.setitem(sys.modules, "PIL.Image", SimpleNamespace(open=lambda x: x))
+    spans = Tesseract().load()([b"x"])[0]
+    assert line_text(spans) == "Hello world\nnext line" and [s["line"] for s in spans] == [0, 0, 1, 1]
+
+
 def test_glossary_by_join_and_by_map_agree(spark):
     df = spark.createDataFrame([(1, "the cat and  the dog"), (2, ""), (3, None)], "id int, text string")
     glossary = spark.createDataFrame(list(EN_KO.items()), "src string, tgt string")
-    joined = {r.id: r.translated for r in translate_words(df, glossary, ["id"]).collect()}
+    joined = {r.id: r.translated for r in translate_words(df, glossary).collect()}
     mapped = {r.id: r.t for r in df.select("id", glossary_column(F.col("text"), EN_KO).alias("t")).collect()}
     assert joined == mapped and joined[3] is None
 
