@@ -15,7 +15,8 @@
   every block whose bound reaches the k-th cosine so far. Nothing else can be
   among the k nearest, so they are exact.
 * *Votes* weigh by squared cosine and by class, so that they speak for the share
-  of toxic documents among all labelled ones. A logistic curve fitted to votes
+  of toxic documents among all labelled ones. An example with the very text of
+  the document is left out, so that no label speaks for its own row. A logistic curve fitted to votes
   that leave out the example itself makes them probabilities.
 
 Defined results: a null or empty text, or one without a vocabulary term, gets
@@ -67,6 +68,11 @@ def levelled(row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row[keep], number[keep], level[keep]
 
 
+def text_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """64 bits for each text."""
+    return range_hash(prefix_hash(BYTE_CODES[data], BYTE_BASE), offs[:-1], offs[1:], BYTE_BASE).view(np.int64)
+
+
 class Vocabulary:
     """Terms with their level."""
 
@@ -101,10 +107,12 @@ class Vocabulary:
 class Index:
     """Block-max inverted index over unit vectors. ids: of the examples."""
 
-    def __init__(self, ids: np.ndarray, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], size: int):
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, keys: np.ndarray | None = None):
         lead = np.array([t[np.argmax(w)] if len(t) else size for t, w in vectors], np.int64)
         order = np.lexsort((ids, lead, toxic)) if len(ids) else np.zeros(0, np.int64)
         self.ids, self.toxic = ids[order], toxic[order]
+        self.keys = np.zeros(0, np.int64) if keys is None else keys[order]  # of the texts
+        self.known = set(self.keys.tolist())
         vectors = [vectors[i] for i in order]
         self.vectors = vectors
         n = len(vectors)
@@ -129,20 +137,22 @@ class Index:
         who = np.flatnonzero(score)
         return who, score[who]
 
-    def nearest(self, t: np.ndarray, q: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest with a cosine above 0."""
+    def nearest(self, t: np.ndarray, q: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest with a cosine above 0, leaving out
+        examples whose text has the key ``without``."""
         bound = q @ self.most[t]
         order = np.argsort(-bound, kind="stable")
         start = order[:4]
         who, score = self._scores(t, q, start[bound[start] > 0])
-        mine = who != without
+        out = np.flatnonzero(self.keys == without) if without in self.known else np.zeros(0, np.int64)
+        mine = ~np.isin(who, out)
         who, score = who[mine], score[mine]
         least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
         rest = order[4:]
         rest = rest[(bound[rest] >= least - 1e-9) & (bound[rest] > 0)]
         if len(rest):
             more, extra = self._scores(t, q, rest)
-            mine = more != without
+            mine = ~np.isin(more, out)
             who, score = np.concatenate([who, more[mine]]), np.concatenate([score, extra[mine]])
         best = np.lexsort((self.ids[who], -np.round(score, 9)))[:k]
         return who[best], score[best]
@@ -156,7 +166,7 @@ class Model:
         ids = np.array([e[0] for e in examples], np.int64)
         toxic = np.array([e[1] for e in examples], np.int64)
         vectors = [self.vector(np.array(e[2], np.int64)) for e in examples]
-        self.index = Index(ids, toxic, vectors, max(1, len(self.vocabulary)))
+        self.index = Index(ids, toxic, vectors, max(1, len(self.vocabulary)), np.array([e[3] for e in examples], np.int64))
         ones, zeros = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
         self.scale = np.array([(1 - share) / zeros, share / ones]) * len(examples)
         self.share = share
@@ -178,7 +188,7 @@ class Model:
         x, y, w = [], [], []
         for i, (t, q) in enumerate(self.index.vectors):
             if len(t):
-                p = min(max(self.vote(*self.index.nearest(t, q, self.k, i)), 1e-6), 1 - 1e-6)
+                p = min(max(self.vote(*self.index.nearest(t, q, self.k, int(self.index.keys[i]))), 1e-6), 1 - 1e-6)
                 x.append(np.log(p / (1 - p)))
                 y.append(self.index.toxic[i])
                 w.append(self.scale[self.index.toxic[i]])
@@ -197,8 +207,8 @@ class Model:
         if beta[0] > 0:
             self.slope, self.shift = map(float, beta)
 
-    def score(self, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        who, score = self.index.nearest(*self.vector(t), self.k) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
+    def score(self, t: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        who, score = self.index.nearest(*self.vector(t), self.k, without) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
         if not len(who):
             return self.empty, who, score
         p = min(max(self.vote(who, score), 1e-6), 1 - 1e-6)
@@ -342,15 +352,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             total[-1] += len(table)
         yield from packed({"": total}, TaskContext.get().partitionId())
 
-    total = summed(docs.select("text").mapInArrow(frequency, SUMS), len(words) + 1).get("", np.zeros(len(words) + 1, np.int64))
+    total = summed(docs.select("text").mapInArrow(frequency, SUMS)).get("", np.zeros(len(words) + 1, np.int64))
 
     def vectors(batches):
         for table in in_slabs(batches, "text", 2 << 20):
             row, at = words.found(*text_bytes(table["text"]))
             edges = pa.array(np.searchsorted(row, np.arange(len(table) + 1)).astype(np.int32))
-            yield from pa.table({"doc_id": table["doc_id"], "toxic": table["toxic"], "at": pa.ListArray.from_arrays(edges, pa.array(at.astype(np.int32)))}).to_batches()
+            yield from pa.table({"doc_id": table["doc_id"], "toxic": table["toxic"], "at": pa.ListArray.from_arrays(edges, pa.array(at.astype(np.int32))), "key": text_keys(*text_bytes(table["text"]))}).to_batches()
 
-    examples = [tuple(r) for r in sample.mapInArrow(vectors, "doc_id long, toxic int, at array<int>").orderBy("doc_id").collect()]  # the sample, in vocabulary terms
+    examples = [tuple(r) for r in sample.mapInArrow(vectors, "doc_id long, toxic int, at array<int>, key long").orderBy("doc_id").collect()]  # the sample, in vocabulary terms
     return Model(words, total[:-1], int(total[-1]), examples, float(share), k)
 
 
@@ -368,17 +378,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         if not held:
             held.append(pickle.loads(shared.value))
         model = held[0]
-        memo: dict[bytes, tuple] = {}
+        memo: dict[tuple, tuple] = {}
         for table in in_slabs(batches, "text", 2 << 20):
             row, at = model.vocabulary.found(*text_bytes(table["text"]))
             edges = np.searchsorted(row, np.arange(len(table) + 1))
             scores, who, cosine = [], [], []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                key = at[a:b].tobytes()
+            own = [x if x in model.index.known else None for x in text_keys(*text_bytes(table["text"])).tolist()]
+            for a, b, without in zip(edges[:-1].tolist(), edges[1:].tolist(), own, strict=True):
+                key = at[a:b].tobytes(), without
                 if key not in memo:
                     if len(memo) > 20_000:
                         memo.clear()
-                    memo[key] = model.score(at[a:b])
+                    memo[key] = model.score(at[a:b], without)
                 p, w, c = memo[key]
                 scores.append(p)
                 who.append(w[:5])
