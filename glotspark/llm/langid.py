@@ -131,20 +131,23 @@ class Model:
         order = np.argsort(-length, kind="stable")  # so that the chunks still going at any step stand first
         going = np.searchsorted(-length[order], -np.arange(CHUNK), "left")
         at_o, steps = at[order], int(length.max())
-        through = np.full((total, k, k), -np.inf, np.float32)
+        # from entering to leaving language: only chunks of longer texts need it
+        some = np.flatnonzero((chunks > 1)[row[order]])
+        through = np.full((len(some), k, k), -np.inf, np.float32)
         through[:, np.arange(k), np.arange(k)] = 0
-        for t in range(steps):
-            m = going[t]
-            part = through[:m]
+        still, slot = np.searchsorted(-length[order][some], -np.arange(CHUNK), "left"), np.zeros(total, np.int64)
+        slot[some] = np.arange(len(some))
+        for t in range(steps if len(some) else 0):
+            part = through[: still[t]]
             np.maximum(part, part.max(2, keepdims=True) - self.switch, out=part)
-            part += score[at_o[:m] + t][:, None, :]
+            part += score[at_o[some[: still[t]]] + t][:, None, :]
         place = np.empty(total, np.int64)
         place[order] = np.arange(total)
         enter = np.zeros((total, k), np.float32)
         for j in range(1, int(chunks.max())):
             here = np.flatnonzero(nth == j) if j < 4 else chunk_first[:-1][chunks > j] + j
             before = place[here - 1]
-            enter[place[here]] = (enter[before][:, :, None] + through[before]).max(1)
+            enter[place[here]] = (enter[before][:, :, None] + through[slot[before]]).max(1)
         state = enter.copy()
         stay = np.ones((steps, total, k), bool)
         come = np.zeros((steps, total), np.int8 if k < 128 else np.int32)
@@ -196,7 +199,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", switc
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    return Model(summed(rows.mapInArrow(count, SUMS), SIZE), switch)
+    return Model(summed(rows.mapInArrow(count, SUMS)), switch)
 
 
 SPANS = "array<struct<start:int,end:int,lang:string>>"

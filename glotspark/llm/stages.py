@@ -1,4 +1,11 @@
-"""Stages of the corpus pipeline: documents in, documents (or pieces) out."""
+"""Stages of the corpus pipeline: documents in, documents (or pieces) out.
+
+For all: every row is a document of its own, also where rows repeat or share a
+doc_id (the operators say what ties mean); a null or empty text is kept (the mix
+takes no words of it, packing gives it the end token alone); columns besides
+doc_id and text pass unchanged, whatever their names, but for n_chars, which
+counts the new text; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +29,14 @@ def _others(docs: DataFrame) -> tuple[str, ...]:
     return tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], list]:
+    """docs with its columns but doc_id and text under names that no operator
+    uses, those names, and expressions for the columns of docs."""
+    names = {c: c if c in ("doc_id", "text") else f"column {i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return plain, tuple(n for n in names.values() if n.startswith("column ")), [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+
+
 def _documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows with the columns of docs in their order; n_chars counts the new text."""
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -32,14 +47,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learning folds train the scores."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(LEARNED)
     model = toxicity.learn(docs, labels)
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.score(docs, model, keep=keep).filter("score < 0.5").select(*(F.col(f"`{c}`") for c in docs.columns))
+    plain, names, back = _renamed(docs)
+    return toxicity.score(plain, model, keep=("text", *names)).filter("score < 0.5").select(*back)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines. One that loses every line with
     words goes; one that had none stays."""
-    return _documents(lines.line_dedup(docs, keep=_others(docs)).filter("not emptied"), docs)
+    plain, names, back = _renamed(docs)
+    return _documents(lines.line_dedup(plain, keep=names).filter("not emptied").select(*back), docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,14 +22,15 @@ def folder(spark, tmp_path_factory):
     mild = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(rng.randint(12, 30)))
     rows += [(1000 + i, mild() + (" grumbol snarkel vexipod grumbol " if i % 4 == 0 else " plain ") + mild(), "en", "a") for i in range(240)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
-    docs.repartition(3).write.parquet(f"{path}/documents.parquet")
+    clash = {"score": F.lit(0.7), "emptied": F.lit(True), "evidence": F.lit("e"), "spans": F.lit(1), "n_lines": F.lit(2), "n_removed": F.lit(3), "taken": F.lit(4), "column 0": F.lit(5)}
+    docs.withColumns(clash).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1000 + i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
 
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    before = docs.collect()
+    before, docs_schema = docs.collect(), docs.schema
     kept = []
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame((out := stage(spark, docs, folder)).collect(), out.schema)
@@ -47,6 +48,13 @@ def test_stages(spark, folder):
     for r in mixed:
         assert set(fx.words(r.text)) <= set(fx.words(" ".join(t or "" for i, t in pairs if i == r.doc_id))) and r.n_chars == (None if r.text is None else len(r.text))
     assert {r.doc_id for r in mixed} <= set(text)
+    assert all(r.score == 0.7 and r.emptied and (r.evidence, r.spans, r.n_lines, r.n_removed, r.taken, r["column 0"]) == ("e", 1, 2, 3, 4, 5) for rows in kept[:4] for r in rows)
+    taken = {(r.doc_id, r.size): r.taken for r in mixing.mix(spark.createDataFrame(near, docs_schema), block=256, fine=16).collect() if r.taken or not r.size}
+    assert sorted(len(fx.words(r.text)) for r in mixed) == sorted(taken.values())
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    assert fx.bag((r.doc_id, r.doc_tokens) for r in packed if r.start == 0) == fx.bag((r.doc_id, len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in mixed)
     assert sum(r.length for r in packed) == sum({(r.sequence_id): r.sequence_length for r in packed}.values())
     assert {r.doc_id for r in packed} == {r.doc_id for r in mixed}
 
