@@ -9,7 +9,7 @@ from glotspark.llm.shared import checkpointed, planned_at_once, release
 
 #: A key counts as hot if it has more than this many rows and more than one in
 #: HOT_SHARE of all; so there are fewer than HOT_SHARE hot keys.
-HOT_ROWS, HOT_SHARE, SPREAD = 200, 1000, 1009
+HOT_ROWS, HOT_SHARE, SPREAD = 100, 1000, 1009
 #: Members that one task compares with each other; larger components have at
 #: least so many tiles (or so many members a tile) that a hot one runs in parallel.
 LONE, TILES, LEAST_TILE = 128, 24, 32
@@ -47,7 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the graph; each is one job over a checkpoint. A node may have a
     large share of all edges (see looked_up).
     """
-    with planned_at_once(edges.sparkSession):
+    spark = edges.sparkSession
+    with planned_at_once(spark, edges.count()):
         now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         while mark[0]:
@@ -61,26 +62,32 @@ def components(edges: DataFrame) -> DataFrame:
             then = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
             now, done, mark = after, then == mark, then
             del both, least, large, low, small, after
-            release(edges.sparkSession)  # shuffle files of the round
+            release(spark)  # shuffle files of the round
             if done:
                 break
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def tiles(members: Column, tile: int) -> Column:
+    """Into how many tiles a group of so many members is cut."""
+    many = F.greatest(F.ceil(members / tile), F.least(F.lit(TILES), F.ceil(members / LEAST_TILE)))
+    return F.when(members <= min(LONE, tile), 1).otherwise(many).cast("long")
+
+
 def candidates(keyed: DataFrame, tile: int) -> DataFrame:
     """keyed: cid and key, many keys for each cid. Ties each bucket of equal keys
     to its least member and returns, for every cid that shares a bucket: node,
     root (its component), tiles (of ``tile`` members at most or so) and t (its own)."""
-    floor = hot_floor(keyed.count())
+    rows = keyed.count()
+    floor = hot_floor(rows)
     tied = keyed.groupBy("key").agg(F.min("cid").alias("m"), F.max("cid").alias("c"), F.count("*").alias("d")).filter("m < c").select(F.col("key").alias("k"), "m", "d")
-    with planned_at_once(keyed.sparkSession):
+    with planned_at_once(keyed.sparkSession, rows):
         ties = checkpointed(looked_up(keyed, "key", "cid", tied, floor).filter("cid <> m").select(F.col("cid").alias("a"), F.col("m").alias("b")).distinct())
     release(keyed.sparkSession)
     found = components(ties)
     sizes = found.groupBy("root").agg(F.count("*").alias("m")).select(F.col("root").alias("k"), "m", F.col("m").alias("d"))
-    tiles = F.when(F.col("m") <= min(LONE, tile), 1).otherwise(F.greatest(F.ceil(F.col("m") / tile), F.least(F.lit(TILES), F.ceil(F.col("m") / LEAST_TILE))))
-    met = looked_up(found, "root", "node", sizes, hot_floor(2 * ties.count())).withColumn("tiles", tiles.cast("long"))
+    met = looked_up(found, "root", "node", sizes, hot_floor(2 * ties.count())).withColumn("tiles", tiles(F.col("m"), tile))
     return met.select("node", "root", "tiles", F.pmod(F.xxhash64("node"), "tiles").alias("t"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glotspark.llm import langid, lines, mixing, near, packing, simhash, substring, topk, toxicity
-from glotspark.llm.shared import checkpointed
+from glotspark.llm.shared import checkpointed, release
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -122,6 +122,7 @@ FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     probed = checkpointed(simhash.probe(_table(spark, sf_dir, "documents", "doc_id", "text")))
+    release(spark)  # the texts that were dealt
     found = simhash.search(probed.select("doc_id", "fingerprint")).withColumnRenamed("fingerprint", "f")
     return probed.join(found, probed["fingerprint"] == found["f"], "left").select(*probed.columns, "class_id", "n_near")
 
@@ -137,7 +138,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.learn(docs.filter(LEARNED))
     found = langid.identify(docs, model)
-    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +146,24 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP8_SQL = """
+WITH l AS (
+  SELECT doc_id, p, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents)
+), e AS (SELECT doc_id, p, min((doc_id, p)) OVER (PARTITION BY w) < (doc_id, p) AS gone FROM l WHERE len(w) > 0),
+v AS (  -- each line of ten words or more without its i-th word
+  SELECT doc_id, p, len(w) AS n, i, list_concat(w[:i - 1], w[i + 1:]) AS k FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM l WHERE len(w) >= 10)
+), r AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, p, min((doc_id, p)) OVER (PARTITION BY n, i, k) < (doc_id, p) AS gone FROM v) WHERE gone),
+whole AS (SELECT w AS k, min((doc_id, p)) AS m FROM l WHERE len(w) >= 10 GROUP BY w),
+short AS (SELECT k, min((doc_id, p)) AS m FROM v WHERE n > 10 GROUP BY k),
+i AS (SELECT DISTINCT doc_id, p FROM v JOIN whole USING (k) WHERE n > 10 AND m < (doc_id, p)
+      UNION SELECT doc_id, p FROM l JOIN short ON l.w = short.k WHERE len(w) >= 10 AND m < (doc_id, p)),
+g AS (SELECT doc_id, p FROM e WHERE gone UNION SELECT * FROM r UNION SELECT * FROM i)
+SELECT l.doc_id, count(*) AS n_lines, count(g.p) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY l.p) FILTER (WHERE g.p IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.p = g.p GROUP BY l.doc_id
+"""
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=10, every=100)
 
@@ -187,4 +206,4 @@ FROM c
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_mixing, op4_substring_dedup, op5_simhash, op6_toxicity, op7_language_id, op8_line_dedup, op9_top_k, op10_suffix_dedup)}
-ORACLES = {"op2_ngram_join": OP2_SQL, "op3_mixing": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_top_k": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
+ORACLES = {"op2_ngram_join": OP2_SQL, "op3_mixing": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_top_k": OP9_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -46,17 +46,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+PARTITION_ROWS = 50_000
+
+
 @contextmanager
-def planned_at_once(spark: SparkSession):
+def planned_at_once(spark: SparkSession, rows: int | None = None):
     """Adaptive planning is off meanwhile: such plans say how their rows are
-    partitioned, and a job of many small steps is one plan, not one for each."""
-    name = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    partitioned, and a job of many small steps is one plan, not one for each.
+    rows: of the largest step, of a few numbers each; shuffles then have a
+    partition for each PARTITION_ROWS of them, as far as the session has so many."""
+    names = {"spark.sql.adaptive.enabled": "false"}
+    if rows is not None:
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        names["spark.sql.shuffle.partitions"] = str(min(most, 1 + rows // PARTITION_ROWS) if rows < most * PARTITION_ROWS else most)
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def laid_out(df, key: str):

@@ -312,6 +312,8 @@ def test_toxicity(spark, labelled, docs, nothing):
             _, found = model.index.nearest(t, w, 7)
             want = np.sort(dense @ dense[i])[::-1][:7]
             assert np.allclose(found, want[want > 1e-12])
+    own = toxicity.score(texts, model).collect()  # no row is its own evidence
+    assert all(e.doc_id != r.doc_id for r in own for e in r.evidence) and {e.doc_id for r in own for e in r.evidence} & {r.doc_id for r in own}
     assert toxicity.score(docs, model, keep=("lang", "row")).count() == docs.count()
     assert toxicity.score(nothing, model).count() == 0
     none = toxicity.learn(nothing, labels.limit(0))
