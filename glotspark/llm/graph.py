@@ -38,6 +38,14 @@ def _handed(edges: DataFrame, least: DataFrame, floor: int) -> DataFrame:
     return met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
+def _tangled(edges: DataFrame) -> tuple[int, int]:
+    """The number of edges, and of nodes that keep them from being stars: those
+    with two smaller neighbours, or with a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    nodes = ends.groupBy("v").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    return tuple(nodes.agg(F.coalesce(F.sum("low"), F.lit(0)), F.count_if(F.expr("low > 1 or (low > 0 and high > 0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a long, b long. Returns node and root, the least node that links
     reach, for every node of an edge.
@@ -50,21 +58,18 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     with planned_at_once(spark, edges.count()):
         now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        while mark[0]:
-            floor = hot_floor(2 * mark[0])
+        n, tangled = _tangled(now)
+        while tangled:
+            floor = hot_floor(2 * n)
             both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"), "d")
             large = _handed(now.select(F.col("b").alias("a"), F.col("a").alias("b")), least, floor)
             low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")).withColumnRenamed("a", "k")
             small = _handed(large, low, floor)
-            after = checkpointed(small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
-            then = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-            now, done, mark = after, then == mark, then
-            del both, least, large, low, small, after
+            now = checkpointed(small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
+            n, tangled = _tangled(now)
+            del both, least, large, low, small
             release(spark)  # shuffle files of the round
-            if done:
-                break
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
