@@ -9,7 +9,9 @@
 
 Each stage's result is written as Parquet and read again, so a lost executor or
 driver costs one stage. SQL can't express these stages (ORACLE_SQL is None);
-tests hold them against brute force.
+tests hold each stage's result against a plain version or what it must contain.
+``glotspark.llm.stages`` states what becomes of nulls, empty texts, repeated rows
+and columns of any name.
 """
 
 from __future__ import annotations
