@@ -12,7 +12,7 @@
 * Links are counted and grouped where they are found; pairs are never rows.
 
 Defined results: a text without words links to nothing and is a class of its
-own; a null doc_id sorts last; repeated rows are one class; an empty table gives
+own; a null doc_id sorts last, after the largest long too; repeated rows are one class; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glotspark.llm.graph import candidates, components, hot_floor, in_tiles, looked_up
-from glotspark.llm.kernels import NULL_ID, U64, WORD_BASE, Words, mix, prefix_hash, range_hash
+from glotspark.llm.kernels import U64, WORD_BASE, Words, mix, prefix_hash, range_hash
 from glotspark.llm.shared import checkpointed, release
 from glotspark.llm.slabs import Slab, Slabs
 
@@ -77,7 +77,7 @@ def _signed(no: int, slab: Slab, gram: int, bands: int, rows: int) -> pa.Table:
             out[:, b] = code
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)), pa.array(out.ravel().view(np.int64)))
     n = len(slab)
-    return pa.table({"slab": np.full(n, no, np.int64), "row": np.arange(n), "doc_id": slab.ids, "n": size, "s1": sums[0].view(np.int64), "s2": sums[1].view(np.int64), "bands": lists})
+    return pa.table({"slab": np.full(n, no, np.int64), "row": np.arange(n), "doc_id": slab.ids, "none": slab.table["doc_id"].is_null(), "n": size, "s1": sums[0].view(np.int64), "s2": sums[1].view(np.int64), "bands": lists})
 
 
 class _Forest:
@@ -162,8 +162,8 @@ class NearDuplicates:
                 for no, payload in zip(batch["slab"].to_pylist(), batch["payload"].to_pylist(), strict=True):
                     yield from _signed(no, Slab(payload), gram, bands, rows).to_batches()
 
-        self.rows = checkpointed(self.slabs.rows.mapInArrow(sign, "slab long, row long, doc_id long, n long, s1 long, s2 long, bands array<long>"))
-        least = F.min(F.struct("doc_id", "slab", "row")).alias("least")
+        self.rows = checkpointed(self.slabs.rows.mapInArrow(sign, "slab long, row long, doc_id long, none boolean, n long, s1 long, s2 long, bands array<long>"))
+        least = F.min(F.struct("doc_id", "none", "slab", "row")).alias("least")
         self.classes = self.rows.filter("n > 0").groupBy("s1", "s2", "n").agg(least, F.any_value("bands").alias("bands"))
         self.classes = checkpointed(self.classes.select("s1", "s2", "n", "least.*", "bands", F.monotonically_increasing_id().alias("cid")))
         self._link(gram, threshold, tile)
@@ -189,18 +189,19 @@ class NearDuplicates:
 
     def _with_groups(self) -> DataFrame:
         """Classes with the least document of their group."""
-        joined = self.classes.select("cid", "s1", "s2", "n", "doc_id", "slab", "row").join(self.groups, F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid")).drop("node", "root")
-        first = joined.groupBy("group").agg(F.min(F.struct("doc_id", "slab", "row")).alias("m"), F.count("*").alias("d")).withColumnRenamed("group", "k")
+        joined = self.classes.select("cid", "s1", "s2", "n", "doc_id", "none", "slab", "row").join(self.groups, F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid")).drop("node", "root")
+        first = joined.groupBy("group").agg(F.min(F.struct("doc_id", "none", "slab", "row")).alias("m"), F.count("*").alias("d")).withColumnRenamed("group", "k")
         return looked_up(joined, "group", "cid", first, hot_floor(self.classes.count())).withColumnRenamed("m", "first")
 
     def table(self) -> DataFrame:
         """Per row: doc_id, class_id (least doc_id with an equal set), n_links (of
         its class to other classes) and group_id (least doc_id of its group)."""
         classes = self._with_groups().join(self.links, F.col("cid") == F.col("cid_"), "left")
-        classes = classes.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("k3"), F.col("doc_id").alias("class_id"), F.col("first.doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        classes = classes.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("k3"), F.struct("doc_id", "none").alias("class"), F.struct("first.doc_id", "first.none").alias("group"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
         joined = self.rows.join(classes, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n") == F.col("k3")), "left")
-        null = lambda c: F.when(c != NULL_ID, c)
-        return joined.select(null(F.col("doc_id")).alias("doc_id"), null(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), null(F.coalesce("group_id", "doc_id")).alias("group_id"))
+        own = F.struct("doc_id", "none")
+        shown = lambda c: F.when(~c["none"], c["doc_id"])
+        return joined.select(shown(own).alias("doc_id"), shown(F.coalesce("class", own)).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), shown(F.coalesce("group", own)).alias("group_id"))
 
     def first_of_each(self) -> DataFrame:
         """The rows of documents that come first in their group, with doc_id, text
