@@ -17,7 +17,8 @@
 * *Votes* weigh by squared cosine and by class, so that they speak for the share
   of toxic documents among all labelled ones. An example with the very text of
   the document is left out, so that no label speaks for its own row. A logistic curve fitted to votes
-  that leave out the example itself makes them probabilities.
+  that leave out the example itself makes them probabilities; votes stay as they
+  are where the examples with a vocabulary term are all of one class.
 
 Defined results: a null or empty text, or one without a vocabulary term, gets
 the rate of such examples; so does every text where nothing could be learned

@@ -160,3 +160,148 @@ def simhashes(corpus: list[str | None], texts: list[str | None]) -> list[str]:
                 votes[i] += weight if raw[i // 8] >> (7 - i % 8) & 1 else -weight
         out.append(sum((v > 0) << (127 - i) for i, v in enumerate(votes)).to_bytes(16, "big").hex())
     return out
+
+
+LETTERS = re.compile(rb"[A-Za-z\x80-\xff]+")
+
+
+def letters(text: str | None) -> list[bytes]:
+    return LETTERS.findall((text or "").encode())
+
+
+def lowered(word: bytes) -> bytes:
+    return bytes(c + 32 if 65 <= c <= 90 else c for c in word)
+
+
+def languages(learned: list[tuple], texts: list[str | None], switch: float = 10.0) -> list[tuple]:
+    """Per text the language and its score; learned: texts and languages. Words,
+    heads and tails are counted as they are, not in buckets of a table."""
+    import math
+
+    from glotspark.llm import langid
+
+    kinds = lambda w: (lowered(w), lowered(w)[:3], lowered(w)[-3:])
+    script = lambda w: max((a, b) for a, b in langid.SCRIPTS if a <= ord(w.decode()[0]))[1]
+    names = sorted({lang for t, lang in learned if t is not None and lang is not None})
+    counts = {(lang, k): Counter() for lang in names for k in range(4)}
+    for t, lang in learned:
+        for w in letters(t) if lang is not None else ():
+            for k, x in enumerate((*kinds(w), script(w))):
+                counts[lang, k][x] += 1
+    sums = {key: sum(c.values()) for key, c in counts.items()}
+    sizes = (langid.WORDS, langid.ENDS, langid.ENDS)
+
+    def scores(w: bytes) -> list[float] | None:
+        open_ = [counts[lang, 3][script(w)] > 0.005 * max(1, sums[lang, 3]) for lang in names]
+        if not any(open_):
+            return None
+        raw = [sum((1.0, 0.5, 0.5)[k] * math.log((counts[lang, k][x] + 0.5) / (sums[lang, k] + 0.5 * sizes[k])) for k, x in enumerate(kinds(w))) for lang in names]
+        best = max(s for s, o in zip(raw, open_, strict=True) if o)
+        return [max(s - best, -8.0) if o else -8.0 for s, o in zip(raw, open_, strict=True)]
+
+    out = []
+    for t in texts:
+        if not names or not any(c.isalpha() for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        found = [(len(w), scores(w)) for w in letters(t)]
+        n = len(names)
+        best, come = [0.0] * n, []
+        for _, s in found:
+            top = max(range(n), key=lambda j: best[j])
+            come.append([j if best[j] >= best[top] - switch else top for j in range(n)])
+            best = [max(best[j], best[top] - switch) + (s[j] if s else 0) for j in range(n)]
+        now, of = max(range(n), key=lambda j: best[j]), []
+        for back in reversed(come):
+            of.append(now)
+            now = back[now]
+        of.reverse()
+        share = [sum(size for (size, s), j in zip(found, of, strict=True) if s and j == i) for i in range(n)]
+        pred = max(range(n), key=lambda j: share[j])
+        total = [sum(s[j] for (_, s), i in zip(found, of, strict=True) if s and i == pred) for j in range(n)]
+        odds = sum(math.exp(min(50, max(-50, (x - total[pred]) / 2))) for x in total)
+        out.append((names[pred], (share[pred] / sum(share) if sum(share) else 1 / n) / odds))
+    return out
+
+
+def toxic_scores(corpus: list[tuple], labels: dict, k: int = 15) -> list[float]:
+    """Score of each text of the corpus; labels: class by id, also of ids without a text."""
+    import math
+
+    import numpy as np
+
+    def terms(text: str | None) -> set:
+        seen = Counter()
+        for w in map(lowered, letters(text)):
+            seen["word", w] += 1
+            if len(w) > 4:
+                seen["head", w[:4]] += 1
+        return {(t, level) for t, n in seen.items() for level in range(1, min(n, 3) + 1)}
+
+    sets = [terms(t) for _, t in corpus]
+    share = sum(labels.values()) / len(labels)
+    examples = sorted((i, r) for r, (i, _) in enumerate(corpus) if i in labels)
+    y = np.array([labels[i] for i, _ in examples])
+    ones, zeros = int(y.sum()), int((y == 0).sum())
+    table = Counter((t, int(c)) for (_, r), c in zip(examples, y, strict=True) for t in sets[r])
+    vocabulary = []
+    for t in {t for t, _ in table}:
+        a, b = table[t, 1], table[t, 0]
+        chi = (a * zeros - b * ones) ** 2 * (ones + zeros) / (ones * zeros * (a + b) * max(ones + zeros - a - b, 1))
+        if a + b >= 5 and chi >= max(24, 0.005 * (ones + zeros)):
+            vocabulary.append(t)
+    idf = np.array([math.log((len(corpus) + 1) / (sum(t in s for s in sets) + 1)) + 1 for t in vocabulary])
+    dense = np.array([[t in s for t in vocabulary] for s in sets]) * idf
+    norm = np.sqrt((dense**2).sum(1))
+    dense /= np.maximum(norm, 1e-12)[:, None]
+    known, text = dense[[r for _, r in examples]], [corpus[r][1] for _, r in examples]
+    scale = np.array([(1 - share) / zeros, share / ones]) * len(examples)
+    bare = norm[[r for _, r in examples]] == 0
+    rate = ((scale[y] * y)[bare].sum() + share) / (scale[y][bare].sum() + 1)
+
+    def logit(r: int) -> float | None:
+        cosine = known @ dense[r]
+        near = sorted((-round(c, 9), examples[i][0], i) for i, c in enumerate(cosine) if c > 0 and text[i] != corpus[r][1])[:k]
+        if not near:
+            return None
+        w = np.array([cosine[i] ** 2 * scale[y[i]] for _, _, i in near])
+        p = ((w * y[[i for _, _, i in near]]).sum() + 0.05 * share) / (w.sum() + 0.05)
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        return math.log(p / (1 - p))
+
+    nothing = math.log(0.05 * share / 0.05 / (1 - share))  # the vote of no neighbour
+    x = np.array([nothing if (z := logit(r)) is None else z for (_, r), b in zip(examples, bare, strict=True) if not b])
+    w, c = scale[y[~bare]], y[~bare]
+
+    def loss(slope: float, shift: float) -> float:
+        z = slope * x + shift
+        return float((w * (np.logaddexp(0, z) - c * z)).sum() + ((slope - 1) ** 2 + shift**2) / 2)
+
+    def least(f, low: float, high: float) -> float:  # of a convex function
+        for _ in range(70):
+            a, b = low + (high - low) / 3, high - (high - low) / 3
+            low, high = (low, b) if f(a) < f(b) else (a, high)
+        return (low + high) / 2
+
+    slope, shift = 1.0, 0.0
+    if 0 < c.sum() < len(c):
+        slope = least(lambda s: loss(s, least(lambda h: loss(s, h), -40, 40)), 0, 20)
+        shift = least(lambda h: loss(slope, h), -40, 40)
+    return [rate if (z := logit(r)) is None else 1 / (1 + math.exp(-(slope * z + shift))) for r in range(len(corpus))]
+
+
+def taken(text: str | None, spans: list) -> str | None:
+    """A text reduced to ranges of words, a round for each time they are taken."""
+    places = [m.span() for m in WORD.finditer(text or "")]
+    parts: list[list[int]] = []
+    for time in range(max((s.times for s in spans), default=0)):
+        fresh = True
+        for k in range(len(places)):
+            if any(s.first <= k < s.end and s.times > time for s in spans):
+                if fresh:
+                    parts.append(list(places[k]))
+                parts[-1][1] = places[k][1]
+                fresh = False
+            else:
+                fresh = True
+    return "\n".join(text[a:b] for a, b in parts) if spans else text

@@ -99,6 +99,13 @@ def test_near_duplicates(docs, rows, nothing):
     assert near.near_duplicates(nothing).count() == 0
 
 
+def test_largest_id_is_no_null(spark):
+    last, t = 2**63 - 1, " ".join(f"w{k}" for k in range(20))
+    for some in ([(last, t), (None, t)], [(last, t), (None, t + " x")], [(None, t), (None, t + " x")], [(last, ""), (None, None)]):
+        want = fx.bag(fx.near(some))
+        assert fx.bag(near.near_duplicates(spark.createDataFrame(some, "doc_id long, text string").repartition(2)).collect()) == want
+
+
 def test_one_of_each_group_stays(docs, rows, nothing):
     kept = near.NearDuplicates(docs, keep=("lang", "slab")).first_of_each().collect()
     first = {i for (i, t), (_, _, _, g) in zip(bare(rows), fx.near(bare(rows)), strict=True) if fx.words(t) and i == g}
@@ -320,6 +327,31 @@ def test_toxicity(spark, labelled, docs, nothing):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.2])
+def test_toxicity_by_brute_force(spark, noise):
+    """Vocabulary, votes, calibration (none without clean examples that have terms)
+    and scores; with an empty text and one that has the text of an example."""
+    rng = random.Random(31)
+    plain = "alpha beta gamma delta epsilon zeta eta theta iota kappa été".split()
+    rows, labels = [], {}
+    for i in range(400):
+        w = [rng.choice(plain) + rng.choice(["", "s", "ing"]) for _ in range(rng.randint(5, 40))]
+        odd = 2 + i % 3 if i % 4 == 0 else rng.random() < noise
+        for _ in range(odd * (rng.random() >= noise / 2)):
+            w.insert(rng.randrange(len(w)), rng.choice(["grumbol", "snarkel", "Vexipod"]))
+        rows.append((i, " ".join(w)))
+        if i % 3:
+            labels[i] = int(i % 4 == 0)
+    rows += [(500, None), (501, ""), (502, rows[4][1]), (503, "Grumbol grumbol GRUMBOL grumbol é"), (504, "nothing known")]
+    labels[99999] = 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.learn(docs, spark.createDataFrame([*labels.items(), (7, None), (None, 1)], "doc_id long, toxic int"))
+    assert ((model.slope, model.shift) == (1, 0)) == (noise == 0)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    want = dict(zip([i for i, _ in rows], fx.toxic_scores(rows, labels), strict=True))
+    assert got == pytest.approx(want, abs=1e-4) and max(want.values()) > 0.7 and min(want.values()) < 0.1
+
+
 def test_examples_pass_over_near_copies_only(spark):
     rng = random.Random(9)
     say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
@@ -363,6 +395,20 @@ def test_language(spark, docs, nothing):
     assert {r.lang_pred for r in langid.identify(docs, langid.learn(nothing)).collect()} == {"und"}
 
 
+def test_language_by_brute_force(spark):
+    """Word scores, script candidates, spans of texts longer than a chunk, document scores."""
+    rng = random.Random(21)
+    parts = {"aa": "ka lo mi shared", "bb": "zur wex pod shared", "cc": "дом лес ka", "dd": "été ça où mi", "ee": "лес бор"}
+    say = lambda lang, n: " ".join(rng.choice(parts[lang].split()) + rng.choice(["", "", rng.choice(parts[lang].split())]) for _ in range(n))
+    learned = [(say(lang, rng.randint(3, 30)), lang) for lang in [*parts] * 30] + [(None, "aa"), ("x", None), (say("cc", 20).upper(), "bb")]
+    texts = [say(lang, rng.randint(1, 12)) for lang in [*parts] * 8] + [None, "", "12 — 34!", "汉字", "汉字 ka lo", "Ka LO, mi!", "αβγ"]
+    texts += [" ".join(say(rng.choice([*parts]), rng.randint(5, 300)) for _ in range(6)) for _ in range(10)]
+    model = langid.learn(spark.createDataFrame(learned, "text string, lang string").repartition(3))
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), model).collect()}
+    for i, (lang, score) in enumerate(fx.languages(learned, texts)):
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, rel=1e-3, abs=1e-4), texts[i]
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(1)
     model = langid.Model({}, 3.0)

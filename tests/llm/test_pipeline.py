@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+import zlib
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,14 +52,20 @@ def test_stages(spark, folder):
         assert set(fx.words(r.text)) <= set(fx.words(" ".join(t or "" for i, t in pairs if i == r.doc_id))) and r.n_chars == (None if r.text is None else len(r.text))
     assert {r.doc_id for r in mixed} <= set(text)
     assert all(r.score == 0.7 and r.emptied and (r.evidence, r.spans, r.n_lines, r.n_removed, r.taken, r["column 0"]) == ("e", 1, 2, 3, 4, 5) for rows in kept[:4] for r in rows)
-    taken = {(r.doc_id, r.size): r.taken for r in mixing.mix(spark.createDataFrame(near, docs_schema), block=256, fine=16).collect() if r.taken or not r.size}
-    assert sorted(len(fx.words(r.text)) for r in mixed) == sorted(taken.values())
+    mix = mixing.mix(spark.createDataFrame(near, docs_schema), block=256, fine=16, keep=("text",)).collect()
+    assert fx.bag((r.doc_id, r.text) for r in mixed) == fx.bag((r.doc_id, fx.taken(r.text, r.spans)) for r in mix if r.taken or not r.size)
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
-    assert fx.bag((r.doc_id, r.doc_tokens) for r in packed if r.start == 0) == fx.bag((r.doc_id, len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in mixed)
-    assert sum(r.length for r in packed) == sum({(r.sequence_id): r.sequence_length for r in packed}.values())
-    assert {r.doc_id for r in packed} == {r.doc_id for r in mixed}
+    ids = [(r.doc_id, np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")) for r in mixed]
+    want = fx.bag((i, a, len(x[a : a + 4096]), zlib.crc32(x[a : a + 4096].tobytes()), len(x)) for i, x in ids for a in range(0, len(x), 4096))
+    assert fx.bag((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packed) == want
+    sequences = defaultdict(list)
+    for r in packed:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [a for a, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 4096
 
 
 def test_small_sources_stay_in_the_mix(spark, folder):
