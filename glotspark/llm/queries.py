@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotspark.llm import langid, lines, mixing, near, packing, simhash, substring, topk, toxicity
+from glotspark.llm import decontaminate, langid, lines, mixing, near, packing, simhash, substring, topk, toxicity
 from glotspark.llm.shared import checkpointed, release
 
 
@@ -205,5 +205,27 @@ FROM c
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_mixing, op4_substring_dedup, op5_simhash, op6_toxicity, op7_language_id, op8_line_dedup, op9_top_k, op10_suffix_dedup)}
-ORACLES = {"op2_ngram_join": OP2_SQL, "op3_mixing": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_top_k": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+x AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS k
+      FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM b WHERE len(w) > 0)),
+s AS (SELECT DISTINCT n FROM x),
+y AS (SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, s WHERE len(w) >= n)),
+h AS (SELECT y.r, y.n, y.p, x.item_id FROM y JOIN x USING (n, k)),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM h) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN i USING (r)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_mixing, op4_substring_dedup, op5_simhash, op6_toxicity, op7_language_id, op8_line_dedup, op9_top_k, op10_suffix_dedup, op11_decontamination)}
+ORACLES = {"op2_ngram_join": OP2_SQL, "op3_mixing": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_top_k": OP9_SQL, "op10_suffix_dedup": OP10_SQL, "op11_decontamination": OP11_SQL}
