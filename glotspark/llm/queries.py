@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotspark.llm import decontaminate, langid, lines, mixing, near, packing, simhash, substring, topk, toxicity
+from glotspark.llm import decontaminate, langid, lines, mixing, near, packing, simhash, substring, topk, toxicity, trie
 from glotspark.llm.shared import checkpointed, release
 
 
@@ -227,5 +227,37 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN i USING (r)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_mixing, op4_substring_dedup, op5_simhash, op6_toxicity, op7_language_id, op8_line_dedup, op9_top_k, op10_suffix_dedup, op11_decontamination)}
-ORACLES = {"op2_ngram_join": OP2_SQL, "op3_mixing": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_top_k": OP9_SQL, "op10_suffix_dedup": OP10_SQL, "op11_decontamination": OP11_SQL}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = trie.turns(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    tree = trie.Trie(*trie.with_openings(own, F.expr("conv_id - conv_id % 20"), F.expr("crc32(cast(cast(conv_id as string) as binary)) % 4")))
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    found = tree.nodes.join(tree.ends, ["depth", "chain"], "left")
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", nothing).alias("ends_sha256"))
+
+
+#: DuckDB has no crc32: bit by bit over the bytes of a short ASCII string.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * length({0})), lambda i: ((ascii(substr({0}, CAST(i // 8 + 1 AS BIGINT), 1)) >> CAST(i % 8 AS INTEGER)) & 1)::BIGINT)),
+  lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295::BIGINT)"""
+
+OP12_SQL = f"""
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS p, k, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS words
+           FROM (SELECT *, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || length(coalesce(text, '')) || ':' || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT c, c - c % 20 AS head, {CRC32_SQL.format("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM o)),
+u AS (SELECT c.c, 0 AS s, o.p, k, words FROM c JOIN o ON o.c = head AND p <= h UNION ALL SELECT c.c, 1, o.p, k, words FROM c JOIN o ON o.c = c.c AND p > h),
+t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY s, p) AS d, k, words FROM u),
+l AS (SELECT c.c, list(k ORDER BY d) FILTER (WHERE d IS NOT NULL) AS ks FROM c LEFT JOIN t ON t.c = c.c GROUP BY c.c),
+r AS (SELECT c, CAST(len(coalesce(ks, [])) AS BIGINT) AS n, list_transform(range(len(coalesce(ks, [])) + 1), lambda i: md5(array_to_string(ks[:i], ','))) AS ids FROM l),
+m AS (SELECT c, n, ids, unnest(range(n + 1)) AS depth FROM r),
+q AS (SELECT m.*, ids[depth + 1] AS id, coalesce(words, 0) AS words FROM m LEFT JOIN t ON t.c = m.c AND t.d = depth),
+n AS (SELECT depth, id, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words, any_value(ids[:depth + 1]) AS path,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = depth), '')) AS ends_sha256 FROM q GROUP BY depth, id),
+k AS (SELECT n.depth, n.id, count(x.id) AS n_children FROM n LEFT JOIN n AS x ON x.depth = n.depth + 1 AND x.path[x.depth] = n.id GROUP BY n.depth, n.id),
+s AS (SELECT a.depth, a.id, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((x.n_convs - 1) * x.words) AS saved_tokens
+      FROM (SELECT n.*, k.n_children, unnest(range(n.depth + 1)) AS up FROM n JOIN k USING (depth, id)) AS x JOIN n AS a ON a.depth = up AND a.id = x.path[up + 1] GROUP BY a.depth, a.id)
+SELECT n.conv_id, n.depth, y.conv_id AS parent_conv_id, n.n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN k USING (depth, id) JOIN s USING (depth, id) LEFT JOIN n AS y ON y.depth = n.depth - 1 AND y.id = n.path[n.depth]
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_mixing, op4_substring_dedup, op5_simhash, op6_toxicity, op7_language_id, op8_line_dedup, op9_top_k, op10_suffix_dedup, op11_decontamination, op12_prefix_trie)}
+ORACLES = {"op2_ngram_join": OP2_SQL, "op3_mixing": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_top_k": OP9_SQL, "op10_suffix_dedup": OP10_SQL, "op11_decontamination": OP11_SQL, "op12_prefix_trie": OP12_SQL}
