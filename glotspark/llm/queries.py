@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotspark.llm import decontaminate, langid, lines, mixing, near, packing, simhash, substring, topk, toxicity, trie
+from glotspark.llm import decontaminate, langid, lines, mixing, near, packing, repair, simhash, substring, topk, toxicity, trie
 from glotspark.llm.shared import checkpointed, release
 
 
@@ -259,5 +259,51 @@ FROM n JOIN k USING (depth, id) JOIN s USING (depth, id) LEFT JOIN n AS y ON y.d
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_mixing, op4_substring_dedup, op5_simhash, op6_toxicity, op7_language_id, op8_line_dedup, op9_top_k, op10_suffix_dedup, op11_decontamination, op12_prefix_trie)}
-ORACLES = {"op2_ngram_join": OP2_SQL, "op3_mixing": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_top_k": OP9_SQL, "op10_suffix_dedup": OP10_SQL, "op11_decontamination": OP11_SQL, "op12_prefix_trie": OP12_SQL}
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    repaired = repair.Repair(repair.damaged(table))
+    convs = table.select("conv_id").distinct()
+    summary, digests = repaired.summary.withColumnRenamed("conv_id", "s"), repaired.digests.withColumnRenamed("conv_id", "d")
+    found = convs.join(summary, convs["conv_id"].eqNullSafe(F.col("s")), "left").join(digests, convs["conv_id"].eqNullSafe(F.col("d")), "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC32_SQL.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS hit FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN hit = 3 THEN [1, 2] ELSE [1] END) AS copy
+      FROM h WHERE hit <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS i, substr(role, 1, 1) AS ini,
+             regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS tip FROM d),
+f AS (SELECT *, CASE WHEN tip = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN tip NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault,
+             ini || lead(ini) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM n),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+             count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+run(st, mid, ins, put) AS (VALUES ('E', 'E', '', ''), ('S', 'S', '', ''), ('U', 'U', '', ''), ('A', 'A', '', ''), ('E', 'U', 'I', 'user:'), ('S', 'U', 'I', 'user:'), ('U', 'A', 'I', 'assistant:'), ('A', 'U', 'I', 'user:'),
+  ('E', 'A', 'II', 'user:,assistant:'), ('S', 'A', 'II', 'user:,assistant:'), ('U', 'U', 'II', 'assistant:,user:'), ('A', 'A', 'II', 'user:,assistant:')),
+edit(mid, letter, needs, nxt, price, role) AS (VALUES ('E', 'D', NULL, 'E', 2, NULL), ('S', 'D', NULL, 'S', 2, NULL), ('U', 'D', NULL, 'U', 2, NULL), ('A', 'D', NULL, 'A', 2, NULL),
+  ('E', 'R', NULL, 'U', 1, 'user'), ('S', 'R', NULL, 'U', 1, 'user'), ('U', 'R', NULL, 'A', 1, 'assistant'), ('A', 'R', NULL, 'U', 1, 'user'),
+  ('E', 'K', 's', 'S', 0, NULL), ('E', 'K', 'u', 'U', 0, NULL), ('S', 'K', 'u', 'U', 0, NULL), ('A', 'K', 'u', 'U', 0, NULL), ('U', 'K', 'a', 'A', 0, NULL)),
+way AS (SELECT st, ins, put, letter, needs, nxt, price + 5 * length(ins) AS price, role FROM run JOIN edit USING (mid)),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, 'E' AS st, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS made FROM s
+  UNION ALL
+  SELECT conv_id, i, st, cost, audit, made FROM (
+    SELECT conv_id, i, st, cost, audit, made, row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) AS best FROM (
+      SELECT f.conv_id, f.i, nxt AS st, cost + price + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS cost, audit || ins || letter AS audit,
+             list_concat(made, CASE WHEN ins = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(put, ',') END, CASE WHEN letter = 'D' THEN CAST([] AS VARCHAR[]) ELSE [coalesce(way.role, f.role) || ':' || f.text] END) AS made
+      FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN way ON way.st = dp.st
+      WHERE (letter = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (needs IS NULL OR needs = ini)))
+  WHERE best = 1
+),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY total, whole) AS best FROM (
+        SELECT dp.conv_id, cost + 5 * length(ins) AS total, audit || ins AS whole, list_concat(made, CASE WHEN ins = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(put, ',') END) AS made
+        FROM dp JOIN s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id AND s.n = dp.i JOIN run ON run.st = dp.st AND mid IN ('E', 'A')))
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(total, 0) AS BIGINT) AS cost, coalesce(whole, '') AS audit, sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id AND best = 1
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_mixing, op4_substring_dedup, op5_simhash, op6_toxicity, op7_language_id, op8_line_dedup, op9_top_k, op10_suffix_dedup, op11_decontamination, op12_prefix_trie, op13_structure_repair)}
+ORACLES = {"op2_ngram_join": OP2_SQL, "op3_mixing": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_top_k": OP9_SQL, "op10_suffix_dedup": OP10_SQL, "op11_decontamination": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_structure_repair": OP13_SQL}
