@@ -9,6 +9,7 @@ UTF-8 sequence, so this equals matching ``[^\\x20\\x09-\\x0D]+`` on characters.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +53,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64, and of its inverse."""
-    return _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
-
-
 def prefix_hash(codes: np.ndarray, base: int) -> np.ndarray:
     """Sums S with S[i] = sum of codes[k] * base**k for k < i, modulo 2**64."""
     out = np.zeros(len(codes) + 1, U64)
@@ -64,9 +60,59 @@ def prefix_hash(codes: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Position-free hashes of codes[start:end], mixed."""
-    return mix((sums[end] - sums[start]) * _powers(pow(base, -1, 1 << 64), len(sums))[start])
+def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int, units: np.ndarray | None = None) -> np.ndarray:
+    """Position-free hashes of codes[start:end], mixed.
+
+    A sum modulo 2**64 can't tell two units in the order of the Thue-Morse sequence
+    from the same with both exchanged, from some 1000 units on, whatever the base.
+    Ranges of more than LONG units are therefore hashed from the units themselves,
+    which callers give wherever ranges can be that long."""
+    out = mix((sums[end] - sums[start]) * _powers(pow(base, -1, 1 << 64), len(sums))[start])
+    if units is not None:
+        for i in np.flatnonzero(end - start > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(units[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+LONG = 512
+PRIMES = ((2147483647, 0x5851F42D), (2147483629, 0x2545F491))
+_prime_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _powers_modulo(base: int, prime: int, n: int) -> np.ndarray:
+    kept = _prime_powers.get((base, prime))
+    if kept is None or len(kept) < n:
+        kept = np.ones(1, U64)
+        while len(kept) < n:
+            kept = np.concatenate([kept, kept * U64(pow(base, len(kept), prime)) % U64(prime)])
+        if n <= KEPT_POWERS:
+            _prime_powers[base, prime] = kept
+    return kept[:n]
+
+
+class PrimeSums:
+    """Sums of codes modulo two primes of 31 bits, for ranges of any length with a
+    unit left out: there units can't be hashed one range at a time."""
+
+    def __init__(self, codes: np.ndarray):
+        self.sums, self.inverse = [], []
+        for i, (prime, base) in enumerate(PRIMES):
+            base, p = base % prime, U64(prime)
+            terms = (codes >> U64(32 * i) & U64(0xFFFFFFFF)) % p * _powers_modulo(base, prime, len(codes)) % p
+            self.sums.append(np.concatenate([np.zeros(1, U64), np.cumsum(terms, dtype=U64) % p]))
+            self.inverse.append(_powers_modulo(pow(base, -1, prime), prime, len(codes) + 2))
+
+    def ranges(self, *parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """62 bits of the ranges low to high, one after the other; between two of them
+        one unit is left out."""
+        out = np.zeros(len(parts[0][0]), U64)
+        for i, (prime, _) in enumerate(PRIMES):
+            p, sums, inverse = U64(prime), self.sums[i], self.inverse[i]
+            total = np.zeros(len(out), U64)
+            for gap, (low, high) in enumerate(parts):
+                total += (sums[high] + p - sums[low]) % p * inverse[parts[0][0] + gap] % p
+            out |= (total % p) << U64(31 * i)
+        return out
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +159,7 @@ class Words:
         self.start, self.end, self.first = runs(~WHITE[data], offs)
         if hashed:
             self.sums = prefix_hash(BYTE_CODES[data], BYTE_BASE)
-            self.hash = range_hash(self.sums, self.start, self.end, BYTE_BASE)
+            self.hash = range_hash(self.sums, self.start, self.end, BYTE_BASE, data)
 
     def __len__(self) -> int:
         return len(self.start)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from glotspark.llm.kernels import U64, WORD_BASE, Words, mix, powers, prefix_hash
+from glotspark.llm.kernels import U64, PrimeSums, Words, mix
 from glotspark.llm.slabs import Answers, Keys, Slab, Slabs, blobs
 from glotspark.llm.substring import SPANS, _covered, cut_bytes, span_lists
 
@@ -46,14 +46,13 @@ class _Lines:
         self.end[self.first[1:] - 1] = offs[1:]
         self.row = np.repeat(np.arange(len(slab)), np.diff(self.first))
         words = Words(data, offs)
-        self.sums = prefix_hash(words.hash, WORD_BASE)
-        self.inverse = powers(WORD_BASE, len(self.sums) + 1)[1]
+        self.sums = PrimeSums(words.hash)
         self.low = np.searchsorted(words.start, self.start)
         self.high = np.searchsorted(words.start, self.end)
         self.n = self.high - self.low
 
     def range(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return (self.sums[high] - self.sums[low]) * self.inverse[low]
+        return self.sums.ranges((low, high))
 
     def equal(self) -> tuple[np.ndarray, Keys]:
         at = np.flatnonzero(self.n > 0)
@@ -120,7 +119,7 @@ class _Lines:
         line = np.repeat(at, n)
         i = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
         low, high, gap = self.low[line], self.high[line], self.low[line] + i
-        left = (self.sums[gap] - self.sums[low]) * self.inverse[low] + (self.sums[high] - self.sums[gap + 1]) * self.inverse[low + 1]
+        left = self.sums.ranges((low, gap), (gap + 1, high))
         replaced = Keys(mix(left ^ mix((i * 2 + 1).astype(U64) + mix(self.n[line].astype(U64)))), self.row[line])
         longer = self.n[line] > min_words
         both = np.concatenate([at, line[longer]])

@@ -131,7 +131,7 @@ class Encoder:
         cut_end[stopped] -= 1
         order = np.argsort(cut_start, kind="stable")
         start, end = cut_start[order], cut_end[order]
-        key = range_hash(prefix_hash(BYTE_CODES[data], BYTE_BASE), start, end, BYTE_BASE)
+        key = range_hash(prefix_hash(BYTE_CODES[data], BYTE_BASE), start, end, BYTE_BASE, data)
         keys, first, of = np.unique(key, return_index=True, return_inverse=True)
         young, place_young = self.young.find(keys)
         old, place_old = self.old.find(keys)

@@ -109,7 +109,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _text_key(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    return range_hash(prefix_hash(BYTE_CODES[data], BYTE_BASE), offs[:-1], offs[1:], BYTE_BASE).view(np.int64)
+    return range_hash(prefix_hash(BYTE_CODES[data], BYTE_BASE), offs[:-1], offs[1:], BYTE_BASE, data).view(np.int64)
 
 
 def _ordered(table: pa.Table) -> pa.Table:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glotspark.llm.kernels import BYTE_BASE, BYTE_CODES, U64, WORD_BASE, Words, mix, prefix_hash, range_hash, runs
+from glotspark.llm.kernels import BYTE_BASE, BYTE_CODES, LONG, U64, WORD_BASE, Words, mix, prefix_hash, range_hash, runs
 from glotspark.llm.slabs import Answers, Keys, Slab, Slabs, blobs, part_of
 
 #: Perfect and near perfect difference covers, by period.
@@ -49,20 +49,22 @@ class _Units:
         if kind == "word":
             self.words = Words(slab.data, slab.offs)
             codes, self.first, self.base = self.words.hash, self.words.first, WORD_BASE
+            self.units = codes
         else:
             codes, self.first, self.base = BYTE_CODES[slab.data], slab.offs, BYTE_BASE
+            self.units = slab.data
         self.n = len(codes)
         self.sums = prefix_hash(codes, self.base)
         self.counts = np.diff(self.first)
 
     def keys(self, start: np.ndarray, length: int) -> np.ndarray:
-        return range_hash(self.sums, start, start + length, self.base)
+        return range_hash(self.sums, start, start + length, self.base, self.units if length > LONG else None)
 
     def row_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
 
     def copies(self) -> Keys:
-        key = range_hash(self.sums, self.first[:-1], self.first[1:], self.base) ^ mix(self.counts.astype(U64))
+        key = range_hash(self.sums, self.first[:-1], self.first[1:], self.base, self.units) ^ mix(self.counts.astype(U64))
         return Keys(key, np.arange(len(self.slab)))
 
     def is_copy(self, answers: Answers) -> np.ndarray:

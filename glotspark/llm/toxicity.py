@@ -71,7 +71,7 @@ def levelled(row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def text_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """64 bits for each text."""
-    return range_hash(prefix_hash(BYTE_CODES[data], BYTE_BASE), offs[:-1], offs[1:], BYTE_BASE).view(np.int64)
+    return range_hash(prefix_hash(BYTE_CODES[data], BYTE_BASE), offs[:-1], offs[1:], BYTE_BASE, data).view(np.int64)
 
 
 class Vocabulary:

@@ -206,6 +206,45 @@ def test_suffix_dedup(docs, rows, nothing, buckets):
     assert substring.suffix_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("n", [2048, 4096])
+def test_texts_with_units_exchanged_are_not_equal(spark, n):
+    """Two units in the order of the Thue-Morse sequence, and the same exchanged."""
+    rng = random.Random(n)
+    bit = [i.bit_count() % 2 for i in range(n)]
+    noise = [chr(rng.randrange(0x3E00, 0x9000)) for _ in range(n)]
+    made = lambda a, b, by: by.join((b if x else a) + (c if by == "" else f" {c}{i}") for i, (x, c) in enumerate(zip(bit, noise, strict=True)))
+    plain = lambda a, b, by: by.join(b if x else a for x in bit)
+    for texts in ([made("a", "b", ""), made("b", "a", "")], [made("a", "b", " "), made("b", "a", " ")]):
+        table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+        assert {r.n_removed for r in substring.suffix_dedup(table).collect()} == {0} or " " in texts[0]
+        assert {r.n_removed for r in substring.substring_dedup(table).collect()} == {0}
+        assert {r.n_removed for r in lines.line_dedup(table).collect()} == {0}
+    words = [plain("a", "b", " ") + " x", plain("b", "a", " ") + " x"]
+    assert {r.n_removed for r in lines.line_dedup(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).collect()} == {0}
+    for key in (simhash._text_key, toxicity.text_keys):
+        a, b = (int(key(*kernels.text_bytes(pa.array([plain(*x, "")])))[0]) for x in (("a", "b"), ("b", "a")))
+        assert a != b
+    assert kernels.Words(*kernels.text_bytes(pa.array([plain("a", "b", "") + " " + plain("b", "a", "")]))).hash[0] != kernels.Words(*kernels.text_bytes(pa.array([plain("b", "a", "")]))).hash[0]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=40), st.data())
+def test_sums_modulo_primes(units, data):
+    codes = kernels.mix(np.array(units, np.uint64) + np.uint64(1))
+    sums = kernels.PrimeSums(codes)
+    spans = []
+    for _ in range(2):
+        low = data.draw(st.integers(0, len(units) - 1))
+        high = data.draw(st.integers(low + 1, len(units)))
+        spans.append((low, data.draw(st.integers(low, high - 1)), high))
+    low, gap, high = (np.array(x) for x in zip(*spans, strict=True))
+    a, b = sums.ranges((low, high))
+    assert (a == b) == (units[slice(spans[0][0], spans[0][2])] == units[slice(spans[1][0], spans[1][2])])
+    a, b = sums.ranges((low, gap), (gap + 1, high))
+    left = [units[x:y] + units[y + 1 : z] for x, y, z in spans]
+    assert (a == b) == (left[0] == left[1])
+
+
 def test_covers():
     assert all(substring.is_cover(v, d) for v, d in substring.COVERS.items())
 
