@@ -28,6 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df in the shared folder; cuts its lineage."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, modificationTime, length and content of each file."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
