@@ -15,8 +15,9 @@ from glotspark.operators.pairs import training_pairs
 from glotspark.operators.recognize import recognize, recognize_spans
 from glotspark.operators.translate import glossary_column, pivot, translate_distinct, translate_documents
 from glotspark.plans.routes import language_pairs, read_and_translate, routed
-from glotspark.sources.tables import images, shared_folder, table
-from glotspark.streaming.realtime import translated_stream
+from glotspark.sources.packed import members, packed_images, write_packed
+from glotspark.sources.tables import image_stream, shared_folder, table
+from glotspark.streaming.sink import committed, exactly_once
 
 EN_KO = {"the": "그", "The": "그", "and": "그리고", "of": "의", "to": "에게", "in": "안에", "a": "하나의", "is": "이다", "for": "위해", "with": "함께", "that": "저것", "on": "위에", "are": "이다", "be": "있다", "was": "이었다", "at": "에서", "or": "또는", "re": "다시"}
 FR_EN = {"le": "the", "la": "the", "les": "the", "et": "and", "de": "of", "un": "a", "une": "a", "dans": "in", "pour": "for", "avec": "with", "est": "is", "sur": "on", "que": "that", "au": "at"}
@@ -102,30 +103,34 @@ def ref_recognize_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognize_spans(_as_images(spark, sf_dir), PlainText(), "item_id")
 
 
-def _image_files(spark: SparkSession, sf_dir: str) -> str:
-    """Each text of benchmark as a file of its own, in a folder for its item."""
+def _packed_images(spark: SparkSession, sf_dir: str) -> str:
+    """Each text of benchmark, with a line feed after it, as an image of its own in an
+    archive; its name is the item's id."""
     folder = shared_folder(spark)
-    table(spark, sf_dir, "benchmark", "item_id", "text").repartition("item_id").write.partitionBy("item_id").text(folder)
+    docs = table(spark, sf_dir, "benchmark", "item_id", "text")
+    write_packed(docs.select(F.col("item_id").cast("string").alias("name"), F.concat("text", F.lit("\n")).cast("binary").alias("content")), folder, archive_bytes=16 << 20)
     return folder
 
 
-def _item(path: str):
-    return F.regexp_extract(path, r"item_id=(\d+)", 1).cast("long").alias("item_id")
+def _item(name: str):
+    return F.col(name).cast("long").alias("item_id")
 
 
 def ref_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image files by Spark's binary source; the stand-in reads them as text. The
-    writer ends each with a line feed."""
-    found = recognize(images(spark, f"{_image_files(spark, sf_dir)}/*", "*.txt"), PlainText())
-    return found.select(_item("path"), F.length("content").cast("long").alias("n_bytes"), F.regexp_replace("text", r"\n$", "").alias("text"))
+    """Images out of archives; the stand-in reads them as text. An image without
+    content has no text."""
+    found = recognize(packed_images(spark, _packed_images(spark, sf_dir)), PlainText())
+    return found.select(_item("name"), F.length("content").cast("long").alias("n_bytes"), F.regexp_replace("text", r"\n$", "").alias("text"))
 
 
 def ref_image_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same files as a stream, recognised and translated; what has come is
-    taken once, and the stream ends."""
-    out, state = shared_folder(spark), shared_folder(spark)
-    translated_stream(spark, f"{_image_files(spark, sf_dir)}/*", out, state, PlainText(), Marked(), once=True).awaitTermination()
-    return spark.read.parquet(out).select(_item("path"), F.regexp_replace("translated", r"\n$", "").alias("translated"))
+    """The same archives as a stream, recognised and translated; each batch reaches
+    its table once, and the stream ends."""
+    found = read_and_translate(members(image_stream(spark, _packed_images(spark, sf_dir), "*.zip")), PlainText(), Marked())
+    result = found.select(_item("name"), F.regexp_replace("translated", r"\n$", "").alias("translated"))
+    out = shared_folder(spark)
+    exactly_once(result, out, shared_folder(spark), once=True).awaitTermination()
+    return committed(spark, out, result.schema)
 
 
 def ref_recognize_translate(spark: SparkSession, sf_dir: str) -> DataFrame:

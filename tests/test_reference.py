@@ -17,6 +17,7 @@ from glotspark.operators.backends import M2M100, Marked, PlainText, Tesseract
 from glotspark.operators.pairs import training_pairs
 from glotspark.operators.recognize import line_text, recognize, recognize_spans
 from glotspark.operators.translate import glossary_column, pivot, translate, translate_distinct, translate_documents, translate_words
+from glotspark.plans import timely
 from glotspark.plans.queries import EN_KO, ORACLES, QUERIES
 from glotspark.plans.routes import language_pairs, read_and_translate, routed
 from glotspark.sources.tables import images
@@ -35,10 +36,24 @@ def test_query(spark, name):
     assert ours == theirs and ours
 
 
+@pytest.mark.parametrize("name", sorted(timely.QUERIES))
+def test_query_in_time(spark, name):
+    ours, theirs = same_rows(timely.QUERIES[name](spark, SF), timely.ORACLES[name], SF)
+    assert ours == theirs and ours
+
+
+def test_images_with_nulls_and_shared_ids(spark, tmp_path):
+    rows = [(1, "a"), (1, "b"), (1, "b"), (None, "c"), (2, None), (3, ""), (None, None)]
+    spark.createDataFrame(rows, "item_id long, text string").repartition(2).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("ref_image_files", "ref_image_stream"):
+        ours, theirs = same_rows(QUERIES[name](spark, str(tmp_path)), ORACLES[name], str(tmp_path))
+        assert ours == theirs and len(ours) == len(rows)
+
+
 def test_entry_registers_all(spark):
     import __spark_entry__ as e
 
-    assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+    assert {*QUERIES, *timely.QUERIES} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
 
 
