@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glotspark.functions.text import fresh
 from glotspark.operators.backends import Recognizer
 
 SPANS = "text string, conf double, line int, left int, top int, width int, height int"
@@ -51,7 +52,9 @@ def recognize(images: DataFrame, backend: Recognizer, content_col: str = "conten
 
 
 def recognize_spans(images: DataFrame, backend: Recognizer, key_col: str = "path", content_col: str = "content") -> DataFrame:
-    """One row a span: the key, its position, text, confidence and box."""
+    """One row a span: the key, its position, text, confidence and box. A null image
+    has no spans, like one without text. A key named as one of the other columns gets
+    an underscore after its name."""
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = backend.load()
@@ -61,4 +64,4 @@ def recognize_spans(images: DataFrame, backend: Recognizer, key_col: str = "path
 
     kind = images.schema[key_col].dataType.simpleString()
     slim = images.select(F.col(key_col).alias("key"), F.col(content_col).alias("content")).filter(F.col("content").isNotNull())
-    return slim.mapInPandas(spans, f"key {kind}, pos int, {SPANS}").withColumnRenamed("key", key_col)
+    return slim.mapInPandas(spans, f"key {kind}, pos int, {SPANS}").withColumnRenamed("key", fresh(key_col, "pos", *(part.split()[0] for part in SPANS.split(", "))))

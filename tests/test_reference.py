@@ -17,7 +17,7 @@ from glotspark.operators.backends import M2M100, Marked, PlainText, Tesseract
 from glotspark.operators.pairs import training_pairs
 from glotspark.operators.recognize import line_text, recognize, recognize_spans
 from glotspark.operators.translate import glossary_column, pivot, translate, translate_distinct, translate_documents, translate_words
-from glotspark.plans import timely
+from glotspark.plans import relational, timely
 from glotspark.plans.queries import EN_KO, ORACLES, QUERIES
 from glotspark.plans.routes import language_pairs, read_and_translate, routed
 from glotspark.sources.tables import images
@@ -36,12 +36,18 @@ def test_query(spark, name):
     assert ours == theirs and ours
 
 
-@pytest.mark.parametrize("name", sorted(timely.QUERIES))
-def test_query_in_time(spark, name):
-    ours, theirs = same_rows(timely.QUERIES[name](spark, SF), timely.ORACLES[name], SF)
+@pytest.mark.parametrize("name", sorted(timely.QUERIES | relational.QUERIES))
+def test_other_query(spark, name):
+    ours, theirs = same_rows((timely.QUERIES | relational.QUERIES)[name](spark, SF), (timely.ORACLES | relational.ORACLES)[name], SF)
     assert ours == theirs and ours
 
 
+def test_spans_under_a_key_of_the_same_name(spark):
+    some = spark.createDataFrame([("k", b"a\nb"), ("n", None)], "text string, content binary")
+    got = recognize_spans(some, PlainText(), "text")
+    assert got.columns[:3] == ["text_", "pos", "text"] and [tuple(r)[:3] for r in got.collect()] == [("k", 0, "a"), ("k", 1, "b")]
+
+
 def test_images_with_nulls_and_shared_ids(spark, tmp_path):
     rows = [(1, "a"), (1, "b"), (1, "b"), (None, "c"), (2, None), (3, ""), (None, None)]
     spark.createDataFrame(rows, "item_id long, text string").repartition(2).write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -53,7 +59,7 @@ def test_images_with_nulls_and_shared_ids(spark, tmp_path):
 def test_entry_registers_all(spark):
     import __spark_entry__ as e
 
-    assert {*QUERIES, *timely.QUERIES} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+    assert {*QUERIES, *timely.QUERIES, *relational.QUERIES} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
 
 
