@@ -13,6 +13,7 @@ from glotspark.functions.text import fresh, lines, pieces
 from glotspark.operators.backends import Translator
 
 GLOSSARY_ROWS = 10_000
+REPEATS = 1000
 
 
 def glossary_column(text: Column, glossary: dict[str, str]) -> Column:
@@ -25,18 +26,36 @@ def glossary_column(text: Column, glossary: dict[str, str]) -> Column:
     return F.array_join(F.transform(F.split(text, " ", -1), lambda w: F.coalesce(F.element_at(known, w) if pairs else w, w)), " ")
 
 
+def content_key(*columns: Column) -> Column:
+    """SHA-256 of the columns' values: the same in every attempt of a task, where a
+    running number of rows behind a shuffle isn't. Equal rows share it."""
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.unhex(F.sha2(F.to_json(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))), exact), 256))
+
+
+def _repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as the column times says, which goes. Two steps, so that no
+    array of all the numbers of a very frequent row is made."""
+    step, nth = fresh("step", *df.columns), fresh("nth", *df.columns)
+    many = F.col(times) - F.col(step) * REPEATS
+    stepped = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / REPEATS).cast("long"))).alias(step))
+    return stepped.select("*", F.explode(F.sequence(F.lit(1), F.least(many, F.lit(REPEATS)).cast("int"))).alias(nth)).drop(step, nth, times)
+
+
 def translate_words(df: DataFrame, glossary: DataFrame, text_col: str = "text", out: str = "translated") -> DataFrame:
     """The same by a join with a glossary of any size (columns src, tgt; each src
-    once). Every row keeps its own words, also where rows are equal."""
-    word, pos, row, of = (fresh(c, *df.columns, out) for c in ("word", "pos", "row", "of"))
+    once). Every row keeps its own words; equal rows are put together once and
+    repeated. Nothing hangs on the order of rows, so lost tasks may run again."""
+    word, pos, row, of, times = (fresh(c, *df.columns, out) for c in ("word", "pos", "row", "of", "times"))
     others = [c for c in df.columns if c != out]
-    rows = df.select(F.struct(*others).alias(row), F.monotonically_increasing_id().alias(of), F.col(text_col).alias(word))
+    rows = df.select(F.struct(*others).alias(row), content_key(*(F.col(f"`{c}`") for c in dict.fromkeys([*others, text_col]))).alias(of), F.col(text_col).alias(word))
     cut = rows.select(row, of, F.posexplode_outer(F.split(word, " ", -1)).alias(pos, word))
     cut = cut.withColumn(row, F.when(F.coalesce(pos, F.lit(0)) == 0, F.col(row)))  # a row goes with its first word alone
     met = cut.join(glossary.select(F.col("src").alias("s"), F.col("tgt").alias("t")), F.col(word) == F.col("s"), "left")
-    placed = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.coalesce("t", word).alias("v"))))
+    placed = F.array_sort(F.collect_set(F.struct(F.col(pos).alias("p"), F.coalesce("t", word).alias("v"))))
     joined = F.when(F.count(word) > 0, F.array_join(F.transform(placed, lambda x: x["v"]), " "))
-    return met.groupBy(of).agg(F.first(row, ignorenulls=True).alias(row), joined.alias(out)).select(f"{row}.*", out)
+    whole = met.groupBy(of).agg(F.first(row, ignorenulls=True).alias(row), joined.alias(out), F.count(row).alias(times))
+    return _repeated(whole.select(row, out, times), times).select(f"{row}.*", out)
 
 
 def translator_udf(backend: Translator):
@@ -76,14 +95,16 @@ def translate_distinct(df: DataFrame, backend: Translator, text_col: str = "text
 
 def translate_documents(docs: DataFrame, backend: Translator, keys: list[str], text_col: str = "text", source: str = "en", target: str = "ko", out: str = "translated", longest: int = 1000) -> DataFrame:
     """Line by line, put together in order; keys and the translation. Each row is
-    a document of its own, also where rows share their keys.
+    a document of its own, also where rows share their keys; rows that share keys
+    and text are put together once and repeated. Nothing hangs on the order of rows,
+    so lost tasks may run again.
 
     A line of more than ``longest`` characters is cut after sentences (or anywhere
     where a sentence is longer); white space around such a piece stays outside the
     model. Each distinct line or piece goes through the model once."""
     line = F.col("line")
-    # a document's number, and its keys with its first line alone
-    rows = docs.select(F.struct(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys))).alias("row"), F.monotonically_increasing_id().alias("of"), F.col(f"`{text_col}`").alias("text"))
+    # a document's key, and its keys with its first line alone
+    rows = docs.select(F.struct(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys))).alias("row"), content_key(*(F.col(f"`{c}`") for c in (*keys, text_col))).alias("of"), F.col(f"`{text_col}`").alias("text"))
     cut = lines(rows).withColumn("row", F.when(F.col("pos") == 0, F.col("row")))
     cut = cut.withColumn("long", F.coalesce(F.length(line) > longest, F.lit(False)))
     parts = cut.select("row", "of", "pos", "long", F.posexplode_outer(F.when(F.col("long"), pieces(line, longest)).otherwise(F.array(line))).alias("nth", "part"))
@@ -93,10 +114,10 @@ def translate_documents(docs: DataFrame, backend: Translator, keys: list[str], t
     done = translate_distinct(parts.drop("part"), backend, "core", source, target, "made")
     made = F.when(F.col("long") & (F.col("core") == ""), F.col("core")).otherwise(F.col("made"))
     value = F.concat(F.when((F.col("nth") == 0) & (F.col("pos") > 0), "\n").otherwise(""), "before", made, "after")
-    placed = F.array_sort(F.collect_list(F.struct("pos", "nth", value.alias("v"))))
+    placed = F.array_sort(F.collect_set(F.struct("pos", "nth", value.alias("v"))))
     text = F.when(F.count("core") > 0, F.array_join(F.transform(placed, lambda x: x["v"]), ""))
-    whole = done.groupBy("of").agg(F.first("row", ignorenulls=True).alias("row"), text.alias("text"))
-    return whole.select(*(F.col(f"row.k{i}").alias(k) for i, k in enumerate(keys)), F.col("text").alias(out))
+    whole = done.groupBy("of").agg(F.first("row", ignorenulls=True).alias("row"), text.alias("text"), F.count("row").alias("times"))
+    return _repeated(whole.select("row", "text", "times"), "times").select(*(F.col(f"row.k{i}").alias(k) for i, k in enumerate(keys)), F.col("text").alias(out))
 
 
 def pivot(df: DataFrame, backend: Translator, source: Column | str, target: Column | str, text_col: str = "text", middle: str = "en") -> DataFrame:

@@ -110,6 +110,19 @@ def test_rows_that_share_a_key_stay_apart_and_names_may_clash(spark):
     assert routed_.first().src == "mine"
 
 
+def test_rows_are_told_apart_by_content_alone(spark):
+    at = ["2024-01-01 00:00:00.000001", "2024-01-01 00:00:00.000002"]
+    rows = [(at[0], None, "a", "x y"), (at[1], None, "a", "x y"), (at[0], "a", None, "x y"), (at[0], None, "a", ""), (at[0], None, "a", None)]
+    df = spark.createDataFrame(rows + [rows[0]] * 2500, "at string, l string, r string, text string").withColumn("at", F.col("at").cast("timestamp")).repartition(5)
+    glossary = spark.createDataFrame([("x", "z")], "src string, tgt string")
+    for out, x in ((translate_words(df, glossary), "z y"), (translate_documents(df, Marked(), ["at", "l", "r"]), "[en>ko] x y")):
+        got = {(r.at.microsecond, r.l, r.r, r.translated): r.n for r in out.groupBy("at", "l", "r", "translated").agg(F.count("*").alias("n")).collect()}
+        empty = "" if x == "z y" else "[en>ko] "
+        assert got == {(1, None, "a", x): 2501, (2, None, "a", x): 1, (1, "a", None, x): 1, (1, None, "a", empty): 1, (1, None, "a", None): 1}
+        assert "monotonically" not in plan(out)
+    assert translate_documents(df.limit(0), Marked(), ["at"]).count() == 0 and translate_words(df.limit(0), glossary).count() == 0
+
+
 def test_long_lines_go_to_the_model_in_pieces(spark):
     class Short(Marked):
         def load(self):
