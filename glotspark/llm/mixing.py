@@ -4,8 +4,11 @@
   they share ``share`` times all words. A target stops at ``most`` times its
   source, and the excess is shared again by weight until none is above.
 * The mix is made of blocks of ``block`` words. Blocks go to sources, and within
-  a source to its shards (documents dealt by a seeded hash, about
+  a source to its shards (documents dealt by a seeded hash of id and text, about
   ``shard_words`` words each), by the highest quotients target / (2k + 1).
+* Rows that share all that is carried of them are one row with a count; such a row is
+  dealt in chunks of few words, and comes apart again in its shards. So rows
+  without ids, rows that share one, and copies of one row fill no shard.
 * With ``fine``, a source with a target below ``fine`` blocks has smaller blocks
   of its own, ``fine`` to its target or single words, so that its words come near
   the target however small it is; the others share the remaining blocks.
@@ -36,11 +39,13 @@ from pyspark.sql import Window as W
 from glotspark.llm.shared import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows and words of a chunk of equal rows; words that a row counts for at least where shards are numbered.
+CHUNK_ROWS, CHUNK_WORDS, ROW_WORDS = 1000, 4096, 16
 
 
 def draw(seed: int, id_col: str):
-    """A seeded number from 0 to 2**32 - 1 for an id (null: as the text null)."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    """A seeded number from 0 to 2**32 - 1 for an id (null: as the text null), mark and chunk."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "mark", F.col("chunk").cast("string"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
@@ -110,20 +115,23 @@ def mix(
     keep: tuple[str, ...] = (),
     size_col: str | None = None,
     fine: int | None = None,
+    mark_col: str | None = None,
 ) -> DataFrame:
     """size_col: a column with the number of words, where it is known; text_col
-    isn't read then. Returns doc_id, source, size, source_size, target, taken, spans (ranges of
-    words taken, as first, end, times) and the columns named in keep."""
+    isn't read then, and mark_col (a string) should name a digest of the text, so
+    that rows that share an id are told apart. Columns to keep must be such that
+    rows can be grouped by them. Returns doc_id, source, size, source_size, target, taken, spans (ranges of
+    words taken, as first, end, times), shard and the columns named in keep."""
     spark = docs.sparkSession
     sized = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source_col}`").alias("source"),
         (F.col(f"`{size_col}`") if size_col else F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0))).cast("long").alias("size"),
+        (F.coalesce(F.col(f"`{mark_col}`"), F.lit("")) if mark_col else F.lit("") if size_col else F.substring(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")), 1, 16)).alias("mark"),
         *(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)),
     )
-    rows, sized = sized, checkpointed(sized.select("doc_id", "source", "size"))
-    rows = rows if keep else sized
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
+    sized = checkpointed(sized.groupBy(*sized.columns).agg(F.count("*").alias("n")))
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
     if len(per) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     sizes = [r["source_size"] for r in per]
@@ -131,10 +139,17 @@ def mix(
     aims = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(per))], share * total, most)
     blocks, numbers = quotas(sizes, aims, share * total, most, block, fine)
     plan = spark.createDataFrame(
-        [(r["source"], s, a, b, q, max(1, math.ceil(s / shard_words))) for r, s, a, b, q in zip(per, sizes, aims, blocks, numbers, strict=True)],
+        [(r["source"], s, a, b, q, max(1, math.ceil(max(s, ROW_WORDS * r["n"]) / shard_words))) for r, s, a, b, q in zip(per, sizes, aims, blocks, numbers, strict=True)],
         T.StructType([T.StructField("source_", docs.schema[source_col].dataType)]).add("source_size", "long").add("target", "double").add("block", "long").add("quota", "long").add("shards", "long"),
     )
 
+    # chunks of equal rows; two steps, so that no array of all chunks of a very frequent row is made
+    most_rows = F.greatest(F.lit(1).cast("long"), F.least(F.lit(CHUNK_ROWS), F.floor(F.lit(CHUNK_WORDS) / (F.col("size") + 1)))).cast("long")
+    chunks = F.floor((F.col("n") - 1) / most_rows).cast("long")
+    stepped = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(chunks / CHUNK_ROWS).cast("long"))).alias("step_"))
+    cut = stepped.select("*", F.explode(F.sequence(F.col("step_") * CHUNK_ROWS, F.least(chunks, F.col("step_") * CHUNK_ROWS + CHUNK_ROWS - 1))).alias("chunk"))
+    cut = cut.withColumn("copies", F.least(most_rows, F.col("n") - F.col("chunk") * most_rows)).drop("step_", "n")
+
     def dealt(df: DataFrame) -> DataFrame:
         return df.join(plan, df["source"].eqNullSafe(plan["source_"])).drop("source_").withColumn("shard", F.pmod(draw(seed, "doc_id"), F.col("shards")))
 
@@ -154,12 +169,13 @@ def mix(
         return out
 
     kind = docs.schema[source_col].dataType.simpleString()
-    shards = dealt(sized).groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first("block").alias("block"))
+    shards = dealt(cut).groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.first("quota").alias("quota"), F.first("block").alias("block"))
     drawn = shards.groupBy("source").applyInPandas(share_out, f"source {kind}, shard long, times long, extra long, blocks long, step long, shift long").select(F.col("source").alias("source_"), F.col("shard").alias("shard_"), "times", "extra", "blocks", "step", "shift")
-    rows = dealt(rows)
+    rows = dealt(cut)
     rows = rows.join(drawn, rows["source"].eqNullSafe(drawn["source_"]) & (rows["shard"] == drawn["shard_"]))
-    order = W.partitionBy("source", "shard").orderBy(draw(seed + 1, "doc_id"), "doc_id", "size")
-    found = rows.withColumn("end", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    order = W.partitionBy("source", "shard").orderBy(draw(seed + 1, "doc_id"), "doc_id", "mark", "chunk", "size", *(f"keep_{i}" for i in range(len(keep))))
+    found = rows.withColumn("last", F.sum(F.col("size") * F.col("copies")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    found = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("before")).withColumn("end", F.col("last") - F.col("before") * F.col("size"))
     a, e, b = F.col("end") - F.col("size"), F.col("end"), F.col("block")
 
     def span(j):
@@ -169,4 +185,4 @@ def mix(
     places = F.when(F.col("size") > 0, F.sequence(F.floor(a / b).cast("long"), F.floor((e - 1) / b).cast("long"))).otherwise(F.array().cast("array<long>"))
     spans = F.filter(F.transform(places, span), lambda s: s["times"] > 0)
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + (s["end"] - s["first"]) * s["times"])
-    return found.withColumn("spans", spans).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "spans", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)))
+    return found.withColumn("spans", spans).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "spans", "shard", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)))

@@ -46,9 +46,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         substr(md5(coalesce(text, '')), 1, 16) AS mark
+  FROM documents
 ), s0 AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w,
+  SELECT source, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w,
          row_number() OVER (ORDER BY source NULLS LAST) AS nth
   FROM d GROUP BY source
 ), s1 AS (  -- sources by when they fill up; what is left for each and those after it
@@ -59,7 +61,7 @@ WITH d AS (
 ), s2 AS (
   SELECT *, min(CASE WHEN rest * w / weight < 2 * source_size THEN fill END) OVER () AS open_at FROM s1
 ), s3 AS (
-  SELECT a.source, a.source_size, a.nth,
+  SELECT a.source, a.source_size, a.n_rows, a.nth,
          CASE WHEN a.open_at IS NULL OR a.fill < a.open_at THEN CAST(2 * a.source_size AS DOUBLE) ELSE b.rest * a.w / b.weight END AS target
   FROM s2 AS a LEFT JOIN s2 AS b ON b.fill = a.open_at
 ), q1 AS (  -- blocks of 16 words by the highest quotients
@@ -67,15 +69,19 @@ WITH d AS (
   FROM (SELECT nth, target, unnest(range(2 * CAST(ceil(source_size / 16.0) AS BIGINT))) AS k FROM s3)
 ), plan AS (
   SELECT s3.*, (SELECT count(*) FROM q1 WHERE q1.nth = s3.nth AND place <= (SELECT floor(1.5::DOUBLE * sum(source_size) / 16 + 0.5) FROM s3)) AS quota,
-         greatest(1, CAST(ceil(source_size / 262144.0) AS BIGINT)) AS shards
+         greatest(1, CAST(ceil(greatest(source_size, 16 * n_rows) / 262144.0) AS BIGINT)) AS shards
   FROM s3
+), c0 AS (  -- equal rows, in chunks of few words
+  SELECT *, greatest(1, least(1000, 4096 // (size + 1))) AS most FROM (SELECT doc_id, source, size, mark, count(*) AS n FROM d GROUP BY ALL)
+), c AS (
+  SELECT doc_id, source, size, mark, chunk, least(most, n - chunk * most) AS copies FROM (SELECT *, unnest(range((n - 1) // most + 1)) AS chunk FROM c0)
 ), e AS (
-  SELECT d.*, p.source_size, p.target, p.nth, p.quota,
-         CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) % p.shards AS shard,
-         CAST('0x' || substr(md5('2:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS draw
-  FROM d JOIN plan AS p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT c.*, p.source_size, p.target, p.nth, p.quota,
+         CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || mark || ':' || chunk), 1, 8) AS BIGINT) % p.shards AS shard,
+         CAST('0x' || substr(md5('2:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || mark || ':' || chunk), 1, 8) AS BIGINT) AS draw
+  FROM c JOIN plan AS p ON c.source IS NOT DISTINCT FROM p.source
 ), h0 AS (
-  SELECT nth, shard, any_value(quota) AS quota, CAST(sum(size) AS BIGINT) AS words, greatest(1, CAST(ceil(sum(size) / 16.0) AS BIGINT)) AS blocks FROM e GROUP BY nth, shard
+  SELECT nth, shard, any_value(quota) AS quota, CAST(sum(size * copies) AS BIGINT) AS words, greatest(1, CAST(ceil(sum(size * copies) / 16.0) AS BIGINT)) AS blocks FROM e GROUP BY nth, shard
 ), h1 AS (
   SELECT nth, shard, quota, row_number() OVER (PARTITION BY nth ORDER BY CAST(words AS DOUBLE) / (2 * k + 1) DESC, shard) AS place
   FROM (SELECT nth, shard, quota, words, unnest(range(2 * CAST(ceil(words / 16.0) AS BIGINT))) AS k FROM h0)
@@ -85,16 +91,20 @@ WITH d AS (
   SELECT *, got // blocks AS times, got % blocks AS extra, (1000003 + 97 * shard) % blocks AS shift,
          (SELECT min(a) FROM (SELECT unnest(range(greatest(1, CAST(floor(blocks * 0.6180339887::DOUBLE) AS BIGINT)), 2 * blocks + 2)) AS a) WHERE gcd(a, blocks) = 1) AS step
   FROM h2
-), f AS (
+), f0 AS (
   SELECT e.*, h.times, h.extra, h.shift, h.step, h.blocks,
-         CAST(sum(size) OVER (PARTITION BY e.nth, e.shard ORDER BY draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+         CAST(sum(size * copies) OVER (PARTITION BY e.nth, e.shard ORDER BY draw, doc_id NULLS FIRST, mark, chunk, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS last
   FROM e JOIN h ON e.nth = h.nth AND e.shard = h.shard
+), f1 AS (
+  SELECT *, unnest(range(copies)) AS before FROM f0
+), f AS (
+  SELECT *, last - before * size AS stop, row_number() OVER () AS r FROM f1
 ), g AS (
-  SELECT *, unnest(CASE WHEN size > 0 THEN range((stop - size) // 16, (stop - 1) // 16 + 1) ELSE [NULL] END) AS j, row_number() OVER () AS r FROM f
+  SELECT *, unnest(CASE WHEN size > 0 THEN range((stop - size) // 16, (stop - 1) // 16 + 1) ELSE [NULL] END) AS j FROM f
 )
 SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, any_value(source) AS source,
        CAST(coalesce(sum((least(stop, (j + 1) * 16) - greatest(stop - size, j * 16)) * (times + CASE WHEN (step * j + shift) % blocks < extra THEN 1 ELSE 0 END)), 0) AS BIGINT) AS taken
-FROM (SELECT g.*, first_value(r) OVER (PARTITION BY nth, shard, stop, draw, doc_id, size ORDER BY j) AS one FROM g) GROUP BY one
+FROM g GROUP BY r
 """
 
 

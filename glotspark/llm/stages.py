@@ -9,6 +9,8 @@ counts the new text; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -95,11 +97,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             for no, payload in zip(batch["slab"].to_pylist(), batch["payload"].to_pylist(), strict=True):
                 slab = Slab(payload)
                 size = Words(slab.data, slab.offs, hashed=False).counts
-                yield from pa.table({"slab": np.full(len(slab), no), "row": np.arange(len(slab)), "doc_id": slab.table["doc_id"], "source": slab.table[source], "size": size}).to_batches()
+                mark = [hashlib.md5(slab.data[a:b], usedforsecurity=False).hexdigest()[:16] for a, b in zip(slab.offs[:-1], slab.offs[1:], strict=True)]
+                yield from pa.table({"slab": np.full(len(slab), no), "row": np.arange(len(slab)), "doc_id": slab.table["doc_id"], "source": slab.table[source], "size": size, "mark": mark}).to_batches()
             trim()
 
-    sized = slabs.rows.mapInArrow(measure, "slab long, row long, doc_id long, source string, size long")
-    mixed = mixing.mix(checkpointed(sized), size_col="size", keep=("slab", "row"), block=256, fine=16)
+    sized = slabs.rows.mapInArrow(measure, "slab long, row long, doc_id long, source string, size long, mark string")
+    mixed = mixing.mix(sized, size_col="size", mark_col="mark", keep=("slab", "row"), block=256, fine=16)
     wanted = mixed.filter("taken > 0 or size = 0").select("slab", "row", "spans")
     names = ["doc_id", *(f"keep_{i}" for i in range(len(keep)))]
     schema = T.StructType().add("doc_id", "long")

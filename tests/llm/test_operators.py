@@ -171,6 +171,22 @@ def test_mixing(docs, rows, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_of_rows_without_ids_and_of_one_row_often(spark):
+    some = [(None, f"a b c d {i % 700}", "s") for i in range(2700)] + [(i, "a b c d e", "s") for i in range(200)] + [(7, "x y " * 30, "s")] * 3000 + [(None, None, None)] * 2000 + [(None, "", "s")] * 900
+    df = spark.createDataFrame(some, "doc_id long, text string, source string")
+    mixed = mixing.mix(df, shard_words=4000)
+    got = mixed.groupBy("doc_id", "size", "source_size", "taken").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in got) == len(some) and all(0 <= r.taken <= 2 * r.size for r in got)
+    total = sum(len(fx.words(r[1])) for r in some)
+    assert abs(sum(r.taken * r.n for r in got) - 1.5 * total) <= 16 * (2 + total / 4000 * 2)
+    again = mixing.mix(df.repartition(3), shard_words=4000).groupBy("doc_id", "size", "source_size", "taken").agg(F.count("*").alias("n"))
+    assert sorted(map(str, got)) == sorted(map(str, again.collect()))
+    dealt = mixing.mix(df, shard_words=4000).groupBy("source", "shard").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()
+    words = sorted(r.words for r in dealt if r.source == "s")
+    assert len(words) > 40 and words[-1] < 3 * words[len(words) // 2]
+    assert sum(r.n for r in dealt if r.source is None) == 2000 and len([r for r in dealt if r.source is None]) > 1
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 40), min_size=1, max_size=7), st.integers(0, 60))
 def test_highest_quotients(shares, n):
