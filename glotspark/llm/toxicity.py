@@ -287,7 +287,7 @@ def _examples(docs: DataFrame, known: DataFrame, per_class: int) -> list[tuple[i
                 keep = [i for i, c in enumerate(table["toxic"].to_pylist()) if not held[c].has_near(signs[i])]
                 yield from table.select(["doc_id", "toxic", "h"]).take(pa.array(keep, pa.int64())).append_column("sign", pa.array([signs[i].tobytes() for i in keep], pa.binary())).to_batches()
 
-        found = checkpointed(docs.join(F.broadcast(window), "doc_id").select("doc_id", "toxic", "h", "text").mapInArrow(fresh, "doc_id long, toxic int, h long, sign binary"))
+        found = checkpointed(_one_text(docs.join(F.broadcast(window), "doc_id"), "doc_id", "toxic", "h").mapInArrow(fresh, "doc_id long, toxic int, h long, sign binary"))
         for c in list(after):
             rows = found.filter(F.col("toxic") == c).orderBy("h", "doc_id", "sign").limit(2 * per_class).collect()  # bounded
             for r in rows:
@@ -305,18 +305,24 @@ def _examples(docs: DataFrame, known: DataFrame, per_class: int) -> list[tuple[i
     return list(picked.items())
 
 
+def _one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """A row for each id: where several share it, the least of their texts."""
+    return rows.groupBy(*keys).agg(F.min("text").alias("text")).select(*keys, "text")
+
+
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     prepare(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4096, vocabulary: int = 2048, least: float = 24.0, effect: float = 0.005, k: int = 15, seed: int = 1) -> Model:
-    """labels: the rows that may be learned from, with id_col and label_col."""
+    """labels: the rows that may be learned from, with id_col and label_col. An id
+    that several rows of docs share is one example, with the least of their texts."""
     docs = _columns(docs, id_col, text_col)
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     picked = _examples(docs, known.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), per_class)
-    sample = checkpointed(docs.join(F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")), "doc_id").select("doc_id", "toxic", "text"))
+    sample = checkpointed(_one_text(docs.join(F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")), "doc_id"), "doc_id", "toxic"))
 
     def tally(batches):
         found: dict[int, list[np.ndarray]] = {0: [], 1: []}

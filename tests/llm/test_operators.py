@@ -407,6 +407,17 @@ def test_toxicity_by_brute_force(spark, noise):
     assert got == pytest.approx(want, abs=1e-4) and max(want.values()) > 0.7 and min(want.values()) < 0.1
 
 
+def test_an_id_that_many_rows_share_is_one_example(spark):
+    some = [(i % 3 if i < 600 else i, " ".join(random.Random(i).choices(["alpha", "beta", "gamma", "delta", "epsilon"], k=30))) for i in range(700)] + [(1, None)]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 2)) for i in {x[0] for x in some}], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, per_class=4)
+    ids = model.index.ids.tolist()
+    assert len(ids) == len(set(ids)) and int(model.index.toxic.sum()) == 2 and len(ids) == 6
+    assert model.index.keys.tolist() == toxicity.learn(docs.repartition(7), labels, per_class=4).index.keys.tolist()
+    assert toxicity.score(docs, model).count() == len(some)
+
+
 def test_examples_pass_over_near_copies_only(spark):
     rng = random.Random(9)
     say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
