@@ -1,26 +1,29 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine.
 
-* *Terms* are words and the first four bytes of longer words, in lower case; the
-  second and third time that a text has a word are terms of their own, so that
-  how often it comes still counts in a short vector.
+* *Terms* are all words and the first four characters of longer words, with A-Z
+  in lower case. A term weighs ``(1 + ln count) * idf * phi``: document
+  frequencies for the IDF come from all documents, and phi is the strength
+  (phi coefficient) of the term's link with the label in the sample. No term is
+  cut; one that no example has, or that tells nothing of the label, weighs 0.
 * *Fitting* uses a bounded sample: the ``per_class`` labelled documents of each
-  class that come first by a seeded hash. A near copy of an earlier one of the
+  class that come first by a seeded hash, as far as their texts fit in
+  ``budget`` bytes a class; a text that doesn't fit is passed over. A near copy of an earlier one of the
   same class (a Jaccard similarity of five-word shingles of 0.8, estimated by
-  128 MinHashes) is passed over, and the next takes its place. The vocabulary is the ``vocabulary`` terms that differ
-  most between the classes (chi squared, above ``least`` and above ``effect``
-  times the sample). Document frequencies for the IDF come from all documents.
-* *Search.* Examples stand in blocks of 64 in an inverted index with the largest
-  weight of each term in each block. A document's dot product with those bounds
-  its cosine to any example of a block. The best blocks are scored first; then
+  128 MinHashes) is passed over, and the next takes its place.
+* *Search.* Products of terms that a quarter of the examples or more have are
+  summed for many documents at once, by matrices. For the other terms examples stand in blocks of 32 in an inverted index
+  with the largest weight of each term in each block that has it. The largest sum of a block and a
+  document's dot product with those weights bound its cosine to any example of the block. The best blocks are scored first; then
   every block whose bound reaches the k-th cosine so far. Nothing else can be
   among the k nearest, so they are exact.
 * *Votes* weigh by squared cosine and by class, so that they speak for the share
-  of toxic documents among all labelled ones. An example with the very text of
-  the document is left out, so that no label speaks for its own row. A logistic curve fitted to votes
-  that leave out the example itself makes them probabilities; votes stay as they
-  are where the examples with a vocabulary term are all of one class.
+  of toxic documents among all labelled ones. A document that is an example has
+  no vote on itself; copies of it under other ids have. A logistic curve makes votes
+  probabilities; it is fitted to votes of the examples in which neither the example nor one
+  of the same text takes part. Votes stay as they
+  are where the examples with a term of some weight are all of one class.
 
-Defined results: a null or empty text, or one without a vocabulary term, gets
+Defined results: a null or empty text, or one without a term of some weight, gets
 the rate of such examples; so does every text where nothing could be learned
 (with no labels at all: 0). Null labels aren't used; of several labels of a
 document the highest counts. Equal cosines: the smaller doc_id is nearer.
@@ -42,31 +45,33 @@ from glotspark.llm.kernels import BYTE_BASE, BYTE_CODES, U64, WORD_BASE, Words,
 from glotspark.llm.langid import LETTER, LOWER
 from glotspark.llm.shared import checkpointed, prepare
 
-BLOCK = 64
+BLOCK, FIRST = 32, 8  # examples in a block, blocks that are scored first
+OFTEN = 4  # terms of one in so many examples aren't in the index of blocks
+TOGETHER = 64  # documents in a matrix
+HEAD = 4
 
 
 def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and 64-bit number of each term of a slab, repeats included."""
     start, end, first = runs(LETTER[data], offs)
-    sums = prefix_hash(BYTE_CODES[LOWER[data]], BYTE_BASE)
+    low = LOWER[data]
+    sums = prefix_hash(BYTE_CODES[low], BYTE_BASE)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    long = np.flatnonzero(end - start > 4)
-    head = mix(range_hash(sums, start[long], start[long] + 4, BYTE_BASE))
-    return np.concatenate([row, row[long]]), np.concatenate([range_hash(sums, start, end, BYTE_BASE), head])
+    at = np.flatnonzero((data & 0xC0) != 0x80)  # where characters start
+    nth = np.searchsorted(at, start)
+    long = np.flatnonzero(np.searchsorted(at, end) - nth > HEAD)
+    head = mix(range_hash(sums, start[long], at[nth[long] + HEAD], BYTE_BASE))
+    return np.concatenate([row, row[long]]), np.concatenate([range_hash(sums, start, end, BYTE_BASE, low), head])
 
 
-LEVELS = 3
-
-
-def levelled(row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and level: level n for a term that the row has n times or more."""
+def counted(row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's distinct numbers, ordered, and how often it has them."""
     order = np.lexsort((number, row))
     row, number = row[order], number[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
-    level = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0)) + 1
-    keep = level <= LEVELS
-    return row[keep], number[keep], level[keep]
+    at = np.flatnonzero(new)
+    return row[at], number[at], np.diff(np.append(at, len(row)))
 
 
 def text_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -75,131 +80,151 @@ def text_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Terms with their level."""
+    """The terms of the examples, ordered."""
 
-    def __init__(self, numbers: np.ndarray, level: np.ndarray):
-        order = np.lexsort((level, numbers))
-        self.numbers, self.level = numbers[order].astype(U64), level[order]
-        self.base = np.unique(self.numbers)
-        self.place = np.full((len(self.base), LEVELS), -1)
-        self.place[np.searchsorted(self.base, self.numbers), self.level - 1] = np.arange(len(self.numbers))
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.base & U64((1 << 20) - 1)] = True
+    def __init__(self, numbers: np.ndarray):
+        self.numbers = np.sort(numbers.astype(U64))
 
     def __len__(self) -> int:
         return len(self.numbers)
 
-    def found(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and place in the vocabulary, ordered, of the terms known."""
+    def found(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place in the vocabulary and count, ordered, of the terms known."""
         if not len(self):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        row, number = terms(data, offs)
-        some = np.flatnonzero(self.maybe[number & U64((1 << 20) - 1)])
-        row, number = row[some], number[some]
-        at = np.minimum(np.searchsorted(self.base, number), len(self.base) - 1)
-        known = self.base[at] == number
-        row, at, level = levelled(row[known], at[known])
-        place = self.place[at, level - 1]
-        row, place = row[place >= 0], place[place >= 0]
-        order = np.lexsort((place, row))
-        return row[order], place[order]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row, number, n = counted(*terms(data, offs))
+        maybe = np.zeros(1 << 22, bool)  # spares most searches for unknown terms
+        maybe[self.numbers & U64(len(maybe) - 1)] = True
+        some = np.flatnonzero(maybe[number & U64(len(maybe) - 1)])
+        at = np.minimum(np.searchsorted(self.numbers, number[some]), len(self) - 1)
+        known = self.numbers[at] == number[some]
+        some, at = some[known], at[known]
+        return row[some], at, n[some]
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of lengths n, one after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class Index:
-    """Block-max inverted index over unit vectors. ids: of the examples."""
+    """Block-max inverted index over unit vectors. ids, keys: of the examples and
+    of their texts."""
 
-    def __init__(self, ids: np.ndarray, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, keys: np.ndarray | None = None):
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, keys: np.ndarray):
         lead = np.array([t[np.argmax(w)] if len(t) else size for t, w in vectors], np.int64)
-        order = np.lexsort((ids, lead, toxic)) if len(ids) else np.zeros(0, np.int64)
-        self.ids, self.toxic = ids[order], toxic[order]
-        self.keys = np.zeros(0, np.int64) if keys is None else keys[order]  # of the texts
-        self.known = set(self.keys.tolist())
-        vectors = [vectors[i] for i in order]
-        self.vectors = vectors
-        n = len(vectors)
-        self.blocks = max(1, -(-n // BLOCK))
-        term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
-        who = np.repeat(np.arange(n), [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
-        by = np.lexsort((who, term))
-        self.who, self.weight = who[by], weight[by]
-        key = term[by] * self.blocks + self.who // BLOCK
-        self.edges = np.searchsorted(key, np.arange(size * self.blocks + 1))
-        self.most = np.zeros(size * self.blocks)
-        np.maximum.at(self.most, key, self.weight)
-        self.most = self.most.reshape(size, self.blocks)
-
-    def _scores(self, t: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = (t[:, None] * self.blocks + blocks[None, :]).ravel()
-        low, n = self.edges[cell], self.edges[cell + 1] - self.edges[cell]
-        flat = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        part = np.repeat(np.repeat(q, len(blocks)), n) * self.weight[flat]
-        score = np.bincount(self.who[flat], weights=part)
-        who = np.flatnonzero(score)
-        return who, score[who]
-
-    def nearest(self, t: np.ndarray, q: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest with a cosine above 0, leaving out
-        examples whose text has the key ``without``."""
-        bound = q @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        start = order[:4]
-        who, score = self._scores(t, q, start[bound[start] > 0])
-        out = np.flatnonzero(self.keys == without) if without in self.known else np.zeros(0, np.int64)
-        mine = ~np.isin(who, out)
-        who, score = who[mine], score[mine]
-        least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
-        rest = order[4:]
-        rest = rest[(bound[rest] >= least - 1e-9) & (bound[rest] > 0)]
-        if len(rest):
-            more, extra = self._scores(t, q, rest)
-            mine = ~np.isin(more, out)
-            who, score = np.concatenate([who, more[mine]]), np.concatenate([score, extra[mine]])
-        best = np.lexsort((self.ids[who], -np.round(score, 9)))[:k]
-        return who[best], score[best]
+        order = np.lexsort((ids, lead, toxic))
+        self.ids, self.toxic, self.keys = ids[order], toxic[order], keys[order]
+        self.blocks = max(1, -(-len(ids) // BLOCK))
+        lengths = np.array([len(vectors[i][0]) for i in order], np.int64)
+        term = np.concatenate([np.zeros(0, np.int32), *(vectors[i][0].astype(np.int32) for i in order)])
+        who = np.repeat(np.arange(len(order), dtype=np.int32), lengths)
+        by = np.argsort(term, kind="stable")  # examples of a term in order
+        term, who = term[by], who[by]
+        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])[by]
+        often = np.flatnonzero(np.bincount(term, minlength=size) * OFTEN >= max(1, len(ids)))
+        self.place = np.full(size, -1, np.int32)
+        self.place[often] = np.arange(len(often))
+        dense = self.place[term] >= 0
+        self.dense = np.zeros((len(often), len(ids)))
+        self.dense[self.place[term[dense]], who[dense]] = weight[dense]
+        term, self.who, self.weight = term[~dense], who[~dense], weight[~dense]
+        cell = term.astype(np.int64) * self.blocks + self.who // BLOCK
+        at = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.edges = np.append(at, len(cell))  # of the cells, one for a term and a block that has it
+        self.block = (cell[at] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
+        self.first = np.searchsorted(term[at], np.arange(size + 1))
+        place = np.argsort(self.ids, kind="stable")
+        self.by_id = self.ids[place], place
+
+    def own(self, doc_id: int | None) -> int | None:
+        """The example with this id."""
+        ids, place = self.by_id
+        at = len(ids) if doc_id is None else int(np.searchsorted(ids, doc_id))
+        return int(place[at]) if at < len(ids) and ids[at] == doc_id else None
+
+    def bases(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms add to the cosines of the vectors to all examples."""
+        q = np.zeros((len(vectors), len(self.dense)))
+        for i, (t, w) in enumerate(vectors):
+            at = self.place[t]
+            q[i, at[at >= 0]] = w[at >= 0]
+        return q @ self.dense
+
+    def _add(self, score: np.ndarray, cells: np.ndarray, q: np.ndarray) -> np.ndarray:
+        n = self.edges[cells + 1] - self.edges[cells]
+        flat = ranges(self.edges[cells], n)
+        return score + np.bincount(self.who[flat], np.repeat(q, n) * self.weight[flat], len(score))
+
+    def nearest(self, t: np.ndarray, q: np.ndarray, k: int, without: np.ndarray | int | None = None, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest with a cosine above 0, but for the
+        examples ``without``. base: the vector's row of ``bases``."""
+        base = self.bases([(t, q)])[0] if base is None else base
+        rare = self.place[t] < 0
+        t, q = t[rare], q[rare]
+        n = self.first[t + 1] - self.first[t]
+        cells = ranges(self.first[t], n)
+        q, block = np.repeat(q, n), self.block[cells]
+        bound = np.bincount(block, q * self.most[cells], self.blocks) + np.maximum.reduceat(base, np.arange(self.blocks) * BLOCK)
+        now = np.zeros(self.blocks, bool)
+        now[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        some = now[block]
+        score = self._add(base, cells[some], q[some])
+        if without is not None:
+            score[without] = 0.0
+        done = np.repeat(now, BLOCK)[: len(score)]
+        least = np.partition(score[done], -k)[-k] if done.sum() >= k else 0.0
+        more = ~now & (bound >= least - 1e-9)
+        if more.any():
+            some = more[block]
+            score = self._add(score, cells[some], q[some])
+            if without is not None:
+                score[without] = 0.0
+            done |= np.repeat(more, BLOCK)[: len(score)]
+        at = np.flatnonzero(done & (score > 0))
+        if len(at) > k:
+            at = at[score[at] >= np.partition(score[at], -k)[-k] - 1e-8]
+        best = at[np.lexsort((self.ids[at], -np.round(score[at], 9)))[:k]]
+        return best, score[best]
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, frequency: np.ndarray, documents: int, examples: list[tuple[int, int, list]], share: float, k: int = 15):
-        self.vocabulary = vocabulary
-        self.idf = np.log((documents + 1) / (frequency + 1)) + 1
-        self.k = k
-        ids = np.array([e[0] for e in examples], np.int64)
+    """examples: id, class, places in the vocabulary, counts, key of the text."""
+
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray, int]], share: float, k: int = 15):
+        self.vocabulary, self.weight, self.share, self.k = vocabulary, weight, share, k
         toxic = np.array([e[1] for e in examples], np.int64)
-        vectors = [self.vector(np.array(e[2], np.int64)) for e in examples]
-        self.index = Index(ids, toxic, vectors, max(1, len(self.vocabulary)), np.array([e[3] for e in examples], np.int64))
+        vectors = [self.vector(e[2], e[3]) for e in examples]
+        self.index = Index(np.array([e[0] for e in examples], np.int64), toxic, vectors, max(1, len(vocabulary)), np.array([e[4] for e in examples], np.int64))
         ones, zeros = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
         self.scale = np.array([(1 - share) / zeros, share / ones]) * len(examples)
-        self.share = share
         none = np.array([len(t) == 0 for t, _ in vectors], bool)
         weight = self.scale[toxic]
         self.empty = float(((weight * toxic)[none].sum() + share) / (weight[none].sum() + 1)) if len(examples) else 0.0
         self.slope, self.shift = 1.0, 0.0
-        self._calibrate()
 
-    def vector(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = self.idf[t]
+    def vector(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of some weight and the unit vector of their weights."""
+        w = self.weight[t] * (1 + np.log(n))
+        t, w = t[w > 0], w[w > 0]
         return t, w / max(1e-12, float(np.sqrt((w * w).sum())))
 
     def vote(self, who: np.ndarray, score: np.ndarray) -> float:
+        """Log odds."""
         w = score * score * self.scale[self.index.toxic[who]]
-        return float(((w * self.index.toxic[who]).sum() + 0.05 * self.share) / (w.sum() + 0.05))
-
-    def _calibrate(self) -> None:
-        x, y, w = [], [], []
-        for i, (t, q) in enumerate(self.index.vectors):
-            if len(t):
-                p = min(max(self.vote(*self.index.nearest(t, q, self.k, int(self.index.keys[i]))), 1e-6), 1 - 1e-6)
-                x.append(np.log(p / (1 - p)))
-                y.append(self.index.toxic[i])
-                w.append(self.scale[self.index.toxic[i]])
-        if not 0 < sum(y) < len(y):
+        p = min(max(float(((w * self.index.toxic[who]).sum() + 0.05 * self.share) / (w.sum() + 0.05)), 1e-6), 1 - 1e-6)
+        return float(np.log(p / (1 - p)))
+
+    def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
+        """votes: of the examples with a term of some weight."""
+        if not 0 < toxic.sum() < len(toxic):
             return
-        x, y, w = np.column_stack([x, np.ones(len(x))]), np.array(y), np.array(w)
+        x, w = np.column_stack([votes, np.ones(len(votes))]), self.scale[toxic]
         beta = np.array([1.0, 0.0])
         for _ in range(50):  # Newton's steps, with a weak prior for slope 1 and shift 0
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            g = x.T @ (w * (p - y)) + (beta - [1, 0])
+            g = x.T @ (w * (p - toxic)) + (beta - [1, 0])
             h = (x * (w * p * (1 - p))[:, None]).T @ x + np.eye(2)
             step = np.linalg.solve(h, g)
             beta = beta - np.clip(step, -2, 2)
@@ -208,12 +233,17 @@ class Model:
         if beta[0] > 0:
             self.slope, self.shift = map(float, beta)
 
-    def score(self, t: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        who, score = self.index.nearest(*self.vector(t), self.k, without) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(who):
-            return self.empty, who, score
-        p = min(max(self.vote(who, score), 1e-6), 1 - 1e-6)
-        return float(1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift)))), who, score
+    def neighbours(self, t: np.ndarray, n: np.ndarray, edges: np.ndarray, without: list):
+        """Numbers and cosines of the nearest examples of each row; edges: of the rows in t and n."""
+        for low in range(0, len(without), TOGETHER):
+            rows = range(low, min(low + TOGETHER, len(without)))
+            vectors = [self.vector(t[edges[i] : edges[i + 1]], n[edges[i] : edges[i + 1]]) for i in rows]
+            bases = self.index.bases(vectors)
+            for i, (at, q), base in zip(rows, vectors, bases, strict=True):
+                yield self.index.nearest(at, q, self.k, without[i], base) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
+
+    def score(self, who: np.ndarray, score: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-(self.slope * self.vote(who, score) + self.shift)))) if len(who) else self.empty
 
 
 SIGNS, NEAR, SHINGLE = 128, 0.8, 5
@@ -254,7 +284,7 @@ class Examples:
         self.n += 1
 
 
-def _examples(docs: DataFrame, known: DataFrame, per_class: int) -> list[tuple[int, int]]:
+def _examples(docs: DataFrame, known: DataFrame, per_class: int, budget: int) -> list[tuple[int, int]]:
     """doc_id and class of the examples. known: doc_id, toxic and h, the order.
 
     By rounds: the next labelled documents that are near no example so far are
@@ -265,6 +295,7 @@ def _examples(docs: DataFrame, known: DataFrame, per_class: int) -> list[tuple[i
     seen = {c: Examples(per_class) for c in (0, 1)}
     after: dict[int, tuple[int, int] | None] = {0: None, 1: None}
     picked: dict[int, int] = {}
+    left = {0: budget, 1: budget}
     width = per_class
     while after:
         parts = []
@@ -283,18 +314,20 @@ def _examples(docs: DataFrame, known: DataFrame, per_class: int) -> list[tuple[i
                 held[c] = Examples(0)
                 held[c].n, held[c].signs = n, signs
             for table in in_slabs(batches, "text", 2 << 20):
-                signs = signatures(*text_bytes(table["text"]))
+                data, offs = text_bytes(table["text"])
+                signs = signatures(data, offs)
                 keep = [i for i, c in enumerate(table["toxic"].to_pylist()) if not held[c].has_near(signs[i])]
-                yield from table.select(["doc_id", "toxic", "h"]).take(pa.array(keep, pa.int64())).append_column("sign", pa.array([signs[i].tobytes() for i in keep], pa.binary())).to_batches()
+                yield from table.select(["doc_id", "toxic", "h"]).take(pa.array(keep, pa.int64())).append_column("sign", pa.array([signs[i].tobytes() for i in keep], pa.binary())).append_column("size", pa.array(np.diff(offs)[keep].astype(np.int64))).to_batches()
 
-        found = checkpointed(_one_text(docs.join(F.broadcast(window), "doc_id"), "doc_id", "toxic", "h").mapInArrow(fresh, "doc_id long, toxic int, h long, sign binary"))
+        found = checkpointed(_one_text(docs.join(F.broadcast(window), "doc_id"), "doc_id", "toxic", "h").mapInArrow(fresh, "doc_id long, toxic int, h long, sign binary, size long"))
         for c in list(after):
             rows = found.filter(F.col("toxic") == c).orderBy("h", "doc_id", "sign").limit(2 * per_class).collect()  # bounded
             for r in rows:
                 sign = np.frombuffer(r["sign"], np.uint32)
-                if seen[c].n < per_class and r["doc_id"] not in picked and not seen[c].has_near(sign):
+                if seen[c].n < per_class and r["size"] <= left[c] and r["doc_id"] not in picked and not seen[c].has_near(sign):
                     seen[c].add(sign)
                     picked[r["doc_id"]] = c
+                    left[c] -= r["size"]
             if len(rows) == 2 * per_class:
                 after[c] = (rows[-1]["h"], rows[-1]["doc_id"])
             elif c in ends:
@@ -315,42 +348,29 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4096, vocabulary: int = 2048, least: float = 24.0, effect: float = 0.005, k: int = 15, seed: int = 1) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4096, budget: int = 64 << 20, k: int = 15, seed: int = 1) -> Model:
     """labels: the rows that may be learned from, with id_col and label_col. An id
-    that several rows of docs share is one example, with the least of their texts."""
+    that several rows of docs share is one example, with the least of their texts.
+    The driver holds the terms of the sample: at most 2 * per_class texts, 2 * budget bytes."""
     docs = _columns(docs, id_col, text_col)
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    picked = _examples(docs, known.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), per_class)
-    sample = checkpointed(_one_text(docs.join(F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")), "doc_id"), "doc_id", "toxic"))
+    picked = _examples(docs, known.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), per_class, budget)
+    sample = checkpointed(_one_text(docs.join(F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")), "doc_id"), "doc_id", "toxic").repartition(32, "doc_id"))
 
     def tally(batches):
-        found: dict[int, list[np.ndarray]] = {0: [], 1: []}
-        n = [0, 0]
         for table in in_slabs(batches, "text", 2 << 20):
-            toxic = table["toxic"].to_numpy()
-            row, number, level = levelled(*terms(*text_bytes(table["text"])))
-            for c in (0, 1):
-                n[c] += int((toxic == c).sum())
-                mine = toxic[row] == c
-                found[c].append(np.stack([number[mine].view(np.int64), level[mine]]))
-        for c in (0, 1):
-            both = np.concatenate(found[c], axis=1) if found[c] else np.zeros((2, 0), np.int64)
-            both = both[:, np.lexsort((both[1], both[0]))]
-            new = np.ones(both.shape[1], bool)
-            new[1:] = (both[:, 1:] != both[:, :-1]).any(0)
-            at = np.flatnonzero(new)
-            yield pa.record_batch({"term": pa.array(both[0, at]), "level": pa.array(both[1, at].astype(np.int32)), "toxic": pa.array(np.full(len(at), c, np.int32)), "n": pa.array(np.diff(np.append(at, both.shape[1])))})
-            yield pa.record_batch({"term": pa.array([None], pa.int64()), "level": pa.array([0], pa.int32()), "toxic": pa.array([c], pa.int32()), "n": pa.array([n[c]], pa.int64())})
-
-    tallied = sample.mapInArrow(tally, "term long, level int, toxic int, n long").groupBy("term", "level").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    tallied = checkpointed(tallied)
-    size = tallied.filter("term is null").first()
-    ones, zeros = (int(size["a"]), int(size["b"])) if size else (0, 0)
-    a, b, n1, n0 = F.col("a").cast("double"), F.col("b").cast("double"), float(max(1, ones)), float(max(1, zeros))
-    chi = (a * (n0 - b) - b * (n1 - a)) * (a * (n0 - b) - b * (n1 - a)) * (n1 + n0) / (n1 * n0 * (a + b) * F.greatest(n1 + n0 - a - b, F.lit(1.0)))
-    picked = tallied.filter("term is not null and a + b >= 5").withColumn("chi", chi).filter(F.col("chi") >= max(least, effect * (n1 + n0))).orderBy(F.col("chi").desc(), "term", "level").limit(vocabulary).select("term", "level").collect()
-    words = Vocabulary(np.array([r["term"] for r in picked], np.int64).view(U64), np.array([r["level"] for r in picked], np.int64))
+            row, number, _ = counted(*terms(*text_bytes(table["text"])))
+            both, n = np.unique(np.stack([number.view(np.int64), table["toxic"].to_numpy()[row]]), axis=1, return_counts=True)
+            yield pa.record_batch({"term": pa.array(both[0]), "toxic": pa.array(both[1].astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+
+    tallied = sample.mapInArrow(tally, "term long, toxic int, n long").groupBy("term").agg(F.sum(F.col("toxic") * F.col("n")).alias("a"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("b")).toArrow()  # terms of the sample
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
+    order = np.argsort(tallied["term"].to_numpy().view(U64))
+    words = Vocabulary(tallied["term"].to_numpy().view(U64))
+    a, b = (tallied[c].to_numpy()[order].astype(float) for c in ("a", "b"))
+    phi = np.abs(a * (zeros - b) - b * (ones - a)) / np.sqrt(max(1, ones * zeros) * np.maximum(1.0, (a + b) * (ones + zeros - a - b)))
 
     def frequency(batches):
         total = np.zeros(len(words) + 1, np.int64)
@@ -360,15 +380,38 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield from packed({"": total}, TaskContext.get().partitionId())
 
     total = summed(docs.select("text").mapInArrow(frequency, SUMS)).get("", np.zeros(len(words) + 1, np.int64))
+    weight = phi * (np.log((total[-1] + 1) / (total[:-1] + 1)) + 1)
 
     def vectors(batches):
         for table in in_slabs(batches, "text", 2 << 20):
-            row, at = words.found(*text_bytes(table["text"]))
-            edges = pa.array(np.searchsorted(row, np.arange(len(table) + 1)).astype(np.int32))
-            yield from pa.table({"doc_id": table["doc_id"], "toxic": table["toxic"], "at": pa.ListArray.from_arrays(edges, pa.array(at.astype(np.int32))), "key": text_keys(*text_bytes(table["text"]))}).to_batches()
+            row, at, n = words.found(*text_bytes(table["text"]))
+            edges = np.searchsorted(row, np.arange(len(table) + 1)).tolist()
+            at, n = at.astype(np.int32), n.astype(np.int32)
+            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+            yield from pa.table({"doc_id": table["doc_id"], "toxic": table["toxic"], "at": cut(at), "n": cut(n), "key": text_keys(*text_bytes(table["text"]))}).to_batches()
+
+    rows = sample.mapInArrow(vectors, "doc_id long, toxic int, at binary, n binary, key long").orderBy("doc_id").collect()  # the sample, in places of the vocabulary
+    model = Model(words, weight, [(r["doc_id"], r["toxic"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32), r["key"]) for r in rows], float(share), k)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model, 5))  # a bounded sample
+    held: list[Model] = []
+
+    def votes(batches):
+        if not held:
+            held.append(pickle.loads(shared.value))
+        index = held[0].index
+        for table in in_slabs(batches, "text", 2 << 20):
+            row, at, n = held[0].vocabulary.found(*text_bytes(table["text"]))
+            edges = np.searchsorted(row, np.arange(len(table) + 1))
+            without = [np.flatnonzero(index.keys == key) for key in text_keys(*text_bytes(table["text"]))]
+            found = held[0].neighbours(at, n, edges, without)
+            some = np.bincount(row, held[0].weight[at], len(table)) > 0
+            out = [held[0].vote(*x) if any_term else None for x, any_term in zip(found, some.tolist(), strict=True)]
+            yield from pa.table({"doc_id": table["doc_id"], "toxic": table["toxic"], "vote": pa.array(out, pa.float64())}).to_batches()
 
-    examples = [tuple(r) for r in sample.mapInArrow(vectors, "doc_id long, toxic int, at array<int>, key long").orderBy("doc_id").collect()]  # the sample, in vocabulary terms
-    return Model(words, total[:-1], int(total[-1]), examples, float(share), k)
+    cast = sample.mapInArrow(votes, "doc_id long, toxic int, vote double").filter("vote is not null").orderBy("doc_id").collect()  # a row an example
+    model.calibrate(np.array([r["vote"] for r in cast]), np.array([r["toxic"] for r in cast], np.int64))
+    shared.unpersist()
+    return model
 
 
 EVIDENCE = "array<struct<doc_id:long,toxic:int,cosine:double>>"
@@ -377,7 +420,7 @@ EVIDENCE = "array<struct<doc_id:long,toxic:int,cosine:double>>"
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Returns doc_id, score, evidence (the five nearest examples) and the
     columns named in keep."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model, 5))  # a bounded sample in a bounded vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model, 5))  # a bounded sample
     kinds = {"doc_id": pa.int64(), "toxic": pa.int32(), "cosine": pa.float64()}
     held: list[Model] = []
 
@@ -385,20 +428,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         if not held:
             held.append(pickle.loads(shared.value))
         model = held[0]
-        memo: dict[tuple, tuple] = {}
         for table in in_slabs(batches, "text", 2 << 20):
-            row, at = model.vocabulary.found(*text_bytes(table["text"]))
+            row, at, n = model.vocabulary.found(*text_bytes(table["text"]))
             edges = np.searchsorted(row, np.arange(len(table) + 1))
             scores, who, cosine = [], [], []
-            own = [x if x in model.index.known else None for x in text_keys(*text_bytes(table["text"])).tolist()]
-            for a, b, without in zip(edges[:-1].tolist(), edges[1:].tolist(), own, strict=True):
-                key = at[a:b].tobytes(), without
-                if key not in memo:
-                    if len(memo) > 20_000:
-                        memo.clear()
-                    memo[key] = model.score(at[a:b], without)
-                p, w, c = memo[key]
-                scores.append(p)
+            for w, c in model.neighbours(at, n, edges, [model.index.own(x) for x in table["doc_id"].to_pylist()]):
+                scores.append(model.score(w, c))
                 who.append(w[:5])
                 cosine.append(c[:5])
             ends = pa.array(np.concatenate([[0], np.cumsum([len(w) for w in who])]).astype(np.int32))

@@ -230,28 +230,26 @@ def toxic_scores(corpus: list[tuple], labels: dict, k: int = 15) -> list[float]:
 
     import numpy as np
 
-    def terms(text: str | None) -> set:
+    def terms(text: str | None) -> Counter:
         seen = Counter()
-        for w in map(lowered, letters(text)):
+        for w in (lowered(x).decode() for x in letters(text)):
             seen["word", w] += 1
             if len(w) > 4:
                 seen["head", w[:4]] += 1
-        return {(t, level) for t, n in seen.items() for level in range(1, min(n, 3) + 1)}
+        return seen
 
-    sets = [terms(t) for _, t in corpus]
+    counts = [terms(t) for _, t in corpus]
     share = sum(labels.values()) / len(labels)
     examples = sorted((i, r) for r, (i, _) in enumerate(corpus) if i in labels)
     y = np.array([labels[i] for i, _ in examples])
     ones, zeros = int(y.sum()), int((y == 0).sum())
-    table = Counter((t, int(c)) for (_, r), c in zip(examples, y, strict=True) for t in sets[r])
-    vocabulary = []
-    for t in {t for t, _ in table}:
-        a, b = table[t, 1], table[t, 0]
-        chi = (a * zeros - b * ones) ** 2 * (ones + zeros) / (ones * zeros * (a + b) * max(ones + zeros - a - b, 1))
-        if a + b >= 5 and chi >= max(24, 0.005 * (ones + zeros)):
-            vocabulary.append(t)
-    idf = np.array([math.log((len(corpus) + 1) / (sum(t in s for s in sets) + 1)) + 1 for t in vocabulary])
-    dense = np.array([[t in s for t in vocabulary] for s in sets]) * idf
+    vocabulary = sorted({t for c in counts for t in c})  # of all documents
+    table = np.array([[c[t] for t in vocabulary] for c in counts], float)
+    has = table[[r for _, r in examples]] > 0
+    p, p1, p0 = has.mean(0), has[y == 1].mean(0), has[y == 0].mean(0)
+    phi = np.abs(p1 - p0) * math.sqrt(ones * zeros) / (ones + zeros) / np.sqrt(np.where((p > 0) & (p < 1), p * (1 - p), 1))
+    idf = np.log((len(corpus) + 1) / ((table > 0).sum(0) + 1)) + 1
+    dense = np.where(table > 0, 1 + np.log(np.maximum(table, 1)), 0) * idf * phi
     norm = np.sqrt((dense**2).sum(1))
     dense /= np.maximum(norm, 1e-12)[:, None]
     known, text = dense[[r for _, r in examples]], [corpus[r][1] for _, r in examples]
@@ -259,9 +257,10 @@ def toxic_scores(corpus: list[tuple], labels: dict, k: int = 15) -> list[float]:
     bare = norm[[r for _, r in examples]] == 0
     rate = ((scale[y] * y)[bare].sum() + share) / (scale[y][bare].sum() + 1)
 
-    def logit(r: int) -> float | None:
+    def logit(r: int, fitting: bool) -> float | None:
         cosine = known @ dense[r]
-        near = sorted((-round(c, 9), examples[i][0], i) for i, c in enumerate(cosine) if c > 0 and text[i] != corpus[r][1])[:k]
+        mine = lambda i: text[i] == corpus[r][1] if fitting else examples[i][0] == corpus[r][0]
+        near = sorted((-round(c, 9), examples[i][0], i) for i, c in enumerate(cosine) if c > 0 and not mine(i))[:k]
         if not near:
             return None
         w = np.array([cosine[i] ** 2 * scale[y[i]] for _, _, i in near])
@@ -270,7 +269,7 @@ def toxic_scores(corpus: list[tuple], labels: dict, k: int = 15) -> list[float]:
         return math.log(p / (1 - p))
 
     nothing = math.log(0.05 * share / 0.05 / (1 - share))  # the vote of no neighbour
-    x = np.array([nothing if (z := logit(r)) is None else z for (_, r), b in zip(examples, bare, strict=True) if not b])
+    x = np.array([nothing if (z := logit(r, True)) is None else z for (_, r), b in zip(examples, bare, strict=True) if not b])
     w, c = scale[y[~bare]], y[~bare]
 
     def loss(slope: float, shift: float) -> float:
@@ -287,7 +286,7 @@ def toxic_scores(corpus: list[tuple], labels: dict, k: int = 15) -> list[float]:
     if 0 < c.sum() < len(c):
         slope = least(lambda s: loss(s, least(lambda h: loss(s, h), -40, 40)), 0, 20)
         shift = least(lambda h: loss(slope, h), -40, 40)
-    return [rate if (z := logit(r)) is None else 1 / (1 + math.exp(-(slope * z + shift))) for r in range(len(corpus))]
+    return [rate if (z := logit(r, False)) is None else 1 / (1 + math.exp(-(slope * z + shift))) for r in range(len(corpus))]
 
 
 def taken(text: str | None, spans: list) -> str | None:

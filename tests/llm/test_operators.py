@@ -366,14 +366,17 @@ def test_toxicity(spark, labelled, docs, nothing):
     got = toxicity.score(texts.filter(held), model).join(labels, "doc_id").collect()
     assert sum((r.score >= 0.5) == bool(r.toxic) for r in got) >= 0.97 * len(got)
     assert all(0 <= r.score <= 1 for r in got) and any(r.evidence for r in got)
-    dense = np.zeros((len(model.index.ids), len(model.vocabulary)))
-    for i, (t, w) in enumerate(model.index.vectors):
-        dense[i, t] = w
-    for i, (t, w) in enumerate(model.index.vectors):  # block-max search is exact
-        if len(t):
-            _, found = model.index.nearest(t, w, 7)
-            want = np.sort(dense @ dense[i])[::-1][:7]
-            assert np.allclose(found, want[want > 1e-12])
+    index, term = model.index, np.repeat(np.arange(len(model.index.first) - 1), np.diff(model.index.edges[model.index.first]))
+    dense = np.zeros((len(index.ids), len(model.vocabulary)))
+    dense[index.who, term] = index.weight
+    often = np.flatnonzero(index.place >= 0)
+    dense[:, often] = index.dense[index.place[often]].T
+    assert len(often) and len(index.who)
+    for x in dense:  # block-max search is exact
+        t = np.flatnonzero(x)
+        _, found = index.nearest(t, x[t], 7) if len(t) else (None, np.zeros(0))
+        want = np.sort(dense @ x)[::-1][:7]
+        assert np.allclose(found, want[want > 1e-12])
     own = toxicity.score(texts, model).collect()  # no row is its own evidence
     assert all(e.doc_id != r.doc_id for r in own for e in r.evidence) and {e.doc_id for r in own for e in r.evidence} & {r.doc_id for r in own}
     assert toxicity.score(docs, model, keep=("lang", "row")).count() == docs.count()
@@ -384,8 +387,8 @@ def test_toxicity(spark, labelled, docs, nothing):
 
 @pytest.mark.parametrize("noise", [0.0, 0.2])
 def test_toxicity_by_brute_force(spark, noise):
-    """Vocabulary, votes, calibration (none without clean examples that have terms)
-    and scores; with an empty text and one that has the text of an example."""
+    """Weights of all terms, votes, calibration and scores; with an empty text and
+    one that has the text of an example. With labels of one class: their rate."""
     rng = random.Random(31)
     plain = "alpha beta gamma delta epsilon zeta eta theta iota kappa été".split()
     rows, labels = [], {}
@@ -401,10 +404,12 @@ def test_toxicity_by_brute_force(spark, noise):
     labels[99999] = 1
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     model = toxicity.learn(docs, spark.createDataFrame([*labels.items(), (7, None), (None, 1)], "doc_id long, toxic int"))
-    assert ((model.slope, model.shift) == (1, 0)) == (noise == 0)
+    assert (model.slope, model.shift) != (1, 0)
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     want = dict(zip([i for i, _ in rows], fx.toxic_scores(rows, labels), strict=True))
     assert got == pytest.approx(want, abs=1e-4) and max(want.values()) > 0.7 and min(want.values()) < 0.1
+    same = toxicity.learn(docs, spark.createDataFrame([(i, 0) for i in labels], "doc_id long, toxic int"))
+    assert {r.score for r in toxicity.score(docs, same).collect()} == {0.0}
 
 
 def test_an_id_that_many_rows_share_is_one_example(spark):
