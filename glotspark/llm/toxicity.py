@@ -10,7 +10,7 @@
   ``budget`` bytes a class; a text that doesn't fit is passed over. A near copy of an earlier one of the
   same class (a Jaccard similarity of five-word shingles of 0.8, estimated by
   128 MinHashes) is passed over, and the next takes its place.
-* *Search.* Products of terms that a quarter of the examples or more have are
+* *Search.* Products of terms that a sixteenth of the examples or more have are
   summed for many documents at once, by matrices. For the other terms examples stand in blocks of 32 in an inverted index
   with the largest weight of each term in each block that has it. The largest sum of a block and a
   document's dot product with those weights bound its cosine to any example of the block. The best blocks are scored first; then
@@ -46,7 +46,7 @@ from glotspark.llm.langid import LETTER, LOWER
 from glotspark.llm.shared import checkpointed, prepare
 
 BLOCK, FIRST = 32, 8  # examples in a block, blocks that are scored first
-OFTEN = 4  # terms of one in so many examples aren't in the index of blocks
+OFTEN = 16  # terms of one in so many examples or more aren't in the index of blocks
 TOGETHER = 64  # documents in a matrix
 HEAD = 4
 
