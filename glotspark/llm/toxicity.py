@@ -32,11 +32,12 @@ document the highest counts. Equal cosines: the smaller doc_id is nearer.
 from __future__ import annotations
 
 import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,15 +195,35 @@ class Model:
 
     def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray, int]], share: float, k: int = 15):
         self.vocabulary, self.weight, self.share, self.k = vocabulary, weight, share, k
-        toxic = np.array([e[1] for e in examples], np.int64)
-        vectors = [self.vector(e[2], e[3]) for e in examples]
-        self.index = Index(np.array([e[0] for e in examples], np.int64), toxic, vectors, max(1, len(vocabulary)), np.array([e[4] for e in examples], np.int64))
-        ones, zeros = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
+        self.ids, self.toxic, self.keys = (np.array([e[i] for e in examples], np.int64) for i in (0, 1, 4))
+        self.edges = np.cumsum([0, *(len(e[2]) for e in examples)])
+        self.at, self.n = (np.concatenate([np.zeros(0, np.int32), *(e[i] for e in examples)]) for i in (2, 3))
+        ones, zeros = max(1, int(self.toxic.sum())), max(1, int((self.toxic == 0).sum()))
         self.scale = np.array([(1 - share) / zeros, share / ones]) * len(examples)
-        none = np.array([len(t) == 0 for t, _ in vectors], bool)
-        weight = self.scale[toxic]
-        self.empty = float(((weight * toxic)[none].sum() + share) / (weight[none].sum() + 1)) if len(examples) else 0.0
+        none = np.bincount(np.repeat(np.arange(len(examples)), np.diff(self.edges)), weight[self.at], len(examples)) == 0
+        w = self.scale[self.toxic]
+        self.empty = float(((w * self.toxic)[none].sum() + share) / (w[none].sum() + 1)) if len(examples) else 0.0
         self.slope, self.shift = 1.0, 0.0
+        self._index: Index | None = None
+
+    def __getstate__(self) -> dict:
+        """Without the index, which tasks build, and with differences of places, which compress well."""
+        return self.__dict__ | {"_index": None, "at": np.diff(self.at, prepend=np.int32(0))}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"at": np.cumsum(state["at"], dtype=np.int32)})
+
+    @property
+    def index(self) -> Index:
+        if self._index is None:
+            vectors = [self.vector(self.at[i:j], self.n[i:j]) for i, j in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True)]
+            self._index = Index(self.ids, self.toxic, vectors, max(1, len(self.vocabulary)), self.keys)
+        return self._index
+
+    def sent(self, spark: SparkSession):
+        """A broadcast for ``received``: a bounded sample, compressed."""
+        raw = pickle.dumps(self, 5)
+        return spark.sparkContext.broadcast((uuid.uuid4().hex, len(raw), pa.compress(raw, codec="zstd", asbytes=True)))
 
     def vector(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms of some weight and the unit vector of their weights."""
@@ -246,6 +267,19 @@ class Model:
         return float(1 / (1 + np.exp(-(self.slope * self.vote(who, score) + self.shift)))) if len(who) else self.empty
 
 
+
+_received: dict[str, Model] = {}
+
+
+def received(shared) -> Model:
+    """The model in a broadcast; a Python worker keeps the last one, with its index, for its next tasks."""
+    token, size, raw = shared.value
+    if token not in _received:
+        _received.clear()
+        _received[token] = pickle.loads(pa.decompress(raw, size, codec="zstd", asbytes=True))
+    return _received[token]
+
+
 SIGNS, NEAR, SHINGLE = 128, 0.8, 5
 EQUAL = int(np.ceil(NEAR * SIGNS))  # MinHashes that near copies share
 PROBES = SIGNS - EQUAL + 1  # of so many, near copies share one at least
@@ -392,25 +426,23 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = sample.mapInArrow(vectors, "doc_id long, toxic int, at binary, n binary, key long").orderBy("doc_id").collect()  # the sample, in places of the vocabulary
     model = Model(words, weight, [(r["doc_id"], r["toxic"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32), r["key"]) for r in rows], float(share), k)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model, 5))  # a bounded sample
-    held: list[Model] = []
+    shared = model.sent(docs.sparkSession)
 
     def votes(batches):
-        if not held:
-            held.append(pickle.loads(shared.value))
-        index = held[0].index
+        got = received(shared)
+        index = got.index
         for table in in_slabs(batches, "text", 2 << 20):
-            row, at, n = held[0].vocabulary.found(*text_bytes(table["text"]))
+            row, at, n = got.vocabulary.found(*text_bytes(table["text"]))
             edges = np.searchsorted(row, np.arange(len(table) + 1))
             without = [np.flatnonzero(index.keys == key) for key in text_keys(*text_bytes(table["text"]))]
-            found = held[0].neighbours(at, n, edges, without)
-            some = np.bincount(row, held[0].weight[at], len(table)) > 0
-            out = [held[0].vote(*x) if any_term else None for x, any_term in zip(found, some.tolist(), strict=True)]
+            found = got.neighbours(at, n, edges, without)
+            some = np.bincount(row, got.weight[at], len(table)) > 0
+            out = [got.vote(*x) if any_term else None for x, any_term in zip(found, some.tolist(), strict=True)]
             yield from pa.table({"doc_id": table["doc_id"], "toxic": table["toxic"], "vote": pa.array(out, pa.float64())}).to_batches()
 
     cast = sample.mapInArrow(votes, "doc_id long, toxic int, vote double").filter("vote is not null").orderBy("doc_id").collect()  # a row an example
     model.calibrate(np.array([r["vote"] for r in cast]), np.array([r["toxic"] for r in cast], np.int64))
-    shared.unpersist()
+    shared.destroy()
     return model
 
 
@@ -420,14 +452,11 @@ EVIDENCE = "array<struct<doc_id:long,toxic:int,cosine:double>>"
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Returns doc_id, score, evidence (the five nearest examples) and the
     columns named in keep."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model, 5))  # a bounded sample
+    shared = model.sent(docs.sparkSession)
     kinds = {"doc_id": pa.int64(), "toxic": pa.int32(), "cosine": pa.float64()}
-    held: list[Model] = []
 
     def rate(batches):
-        if not held:
-            held.append(pickle.loads(shared.value))
-        model = held[0]
+        model = received(shared)
         for table in in_slabs(batches, "text", 2 << 20):
             row, at, n = model.vocabulary.found(*text_bytes(table["text"]))
             edges = np.searchsorted(row, np.arange(len(table) + 1))

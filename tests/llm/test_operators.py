@@ -353,7 +353,7 @@ def labelled(spark):
         w = [rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + rng.choice(["", "s", "ing"]) for _ in range(rng.randint(5, 40))]
         for _ in range(2 + toxic if toxic else 0):
             w.insert(rng.randrange(len(w)), rng.choice(["grumbol", "snarkel", "vexipod"]))
-        rows.append((i, " ".join(w)))
+        rows.append((i, " ".join([*w, *("".join(rng.choices("abcdefgh", k=3)) for _ in range(3))])))  # rare words
         labels.append((i, int(toxic)))
     labels += [(None, 1), (3, None), (99999, 1)]
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
