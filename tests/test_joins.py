@@ -10,6 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from glotspark.operators import intervals as bins
 from glotspark.operators.asof import asof_join
 from glotspark.operators.intervals import band_join, interval_join
 
@@ -134,3 +135,21 @@ def test_band_join(spark, keyed):
     assert got.columns == (["k", "low", "x"] if keyed else ["k", "low", "right_k", "x"])
     want = Counter((*a, *(b[1:] if keyed else b)) for a in left for b in right if a[1] is not None and b[1] is not None and a[1] - 0.5 <= b[1] <= a[1] + 2 and (not keyed or (a[0] is not None and a[0] == b[0])))
     assert Counter(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize(("seed", "keyed"), [(11, True), (12, False)])
+def test_intervals_in_blocks(spark, monkeypatch, seed, keyed):
+    monkeypatch.setattr(bins, "SIDE", 5)
+    monkeypatch.setattr(bins, "PAIRS", 50)
+    rng = random.Random(seed)
+    left, right = intervals(rng, 80, 50), intervals(rng, 70, 50)
+    l, r = (spark.createDataFrame(x, "k int, lo double, hi double, level int").repartition(3) for x in (left, right))
+    got = interval_join(l, r, ("lo", "hi"), ("lo", "hi"), ["k"] if keyed else None)
+    assert Counter(map(tuple, got.collect())) == expected(left, right, keyed)
+
+
+def test_a_full_bin_makes_no_task_grow(spark):
+    left, right = (spark.range(n).selectExpr("id", "id % 7 / 10 x").repartition(3) for n in (20_000, 1500))
+    got = band_join(left, right, "x", "x", 1.0, 1.0)
+    sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 20_000 * 1500 and max(sizes) < 0.5 * sum(sizes)
