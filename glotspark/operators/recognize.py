@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glotspark.functions.batches import prepare
 from glotspark.functions.text import fresh
 from glotspark.operators.backends import Recognizer
 
@@ -39,6 +40,7 @@ def recognize(images: DataFrame, backend: Recognizer, content_col: str = "conten
     Images are large: give Arrow few rows at a time (batch_rows sets that for the
     session, from then on) and filter by path or length beforehand, so that only
     images that are needed reach Python."""
+    prepare(images.sparkSession)
     if batch_rows:
         images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
 
@@ -56,6 +58,8 @@ def recognize_spans(images: DataFrame, backend: Recognizer, key_col: str = "path
     has no spans, like one without text. A key named as one of the other columns gets
     an underscore after its name."""
 
+    prepare(images.sparkSession)
+
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = backend.load()
         for batch in batches:

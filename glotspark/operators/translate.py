@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glotspark.functions.batches import prepare
 from glotspark.functions.text import fresh, lines, pieces
 from glotspark.operators.backends import Translator
 
@@ -77,7 +78,9 @@ def translator_udf(backend: Translator):
 
 
 def translate(df: DataFrame, backend: Translator, text_col: str = "text", source: Column | str = "en", target: Column | str = "ko", out: str = "translated") -> DataFrame:
-    """Adds the translation of each row's text; null for a null text."""
+    """Adds the translation of each row's text; null for a null text. Texts go to
+    Python in batches of a few MB (see ``prepare``)."""
+    prepare(df.sparkSession)
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
     return df.withColumn(out, translator_udf(backend)(F.col(text_col), as_column(source), as_column(target)))
 

@@ -259,3 +259,15 @@ def test_routes_and_pairs(spark):
 def test_html(spark):
     df = spark.createDataFrame([("<p>a &lt;b&gt;</p><script>x</script><!-- c --><div>d<br>e</div>",)], "h string")
     assert df.select(html_text(F.col("h")).alias("t")).first().t == "a <b>\nd\ne"
+
+
+def test_translators_get_texts_by_a_few_megabytes(spark):
+    class Sizes:
+        def load(self):
+            return lambda texts, source, target: [f"{len(texts)} {sum(map(len, texts))}" for _ in texts]
+
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.unset(name)
+    long = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("word "), 4000).alias("text"))
+    got = [tuple(map(int, r[0].split())) for r in translate(long, Sizes()).select("translated").distinct().collect()]
+    assert max(n for n, _ in got) <= 1000 and max(size for _, size in got) <= 20 << 20
