@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from glotspark.functions.text import fresh
 from glotspark.operators.backends import Translator
+from glotspark.operators.translate import content_key
 from glotspark.streaming.windows import timed
 
 CALL = 256
@@ -71,9 +74,9 @@ def remembered(stream: DataFrame, translator: Translator, text_col: str = "text"
 
 
 class _First(StatefulProcessor):
-    """A key: until when it is known, once a row of it was given out (-1: for good)."""
+    """A key: until when it is known, once a row of it was given out."""
 
-    def __init__(self, columns: list[str], time: str, keep_ms: int | None, zone: str):
+    def __init__(self, columns: list[str], time: str, keep_ms: int, zone: str):
         self.columns, self.time, self.keep_ms, self.zone = columns, time, keep_ms, zone
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -83,7 +86,7 @@ class _First(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         until = self.seen.get()[0] if self.seen.exists() else None
         if until is not None:
-            if until < 0 or timerValues.getCurrentWatermarkInMs() < until:  # timers come after the rows of a batch
+            if timerValues.getCurrentWatermarkInMs() < until:  # timers come after the rows of a batch
                 for _ in rows:
                     pass
                 return
@@ -92,12 +95,10 @@ class _First(StatefulProcessor):
         for some in rows:
             best = some.sort_values([self.time, *(c for c in self.columns if c != self.time)], kind="stable").head(1)
             first = best if first is None else pd.concat([first, best]).sort_values([self.time, *(c for c in self.columns if c != self.time)], kind="stable").head(1)
-        until = -1
-        if self.keep_ms is not None:
-            time = first[self.time].iloc[0]
-            time = time if time.tzinfo else time.tz_localize(self.zone, ambiguous=True, nonexistent="shift_forward")
-            until = int(time.timestamp() * 1000) + self.keep_ms
-            self.handle.registerTimer(until)
+        time = first[self.time].iloc[0]
+        time = time if time.tzinfo else time.tz_localize(self.zone, ambiguous=True, nonexistent="shift_forward")
+        until = int(time.timestamp() * 1000) + self.keep_ms
+        self.handle.registerTimer(until)
         self.seen.update((until,))
         yield first[self.columns]
 
@@ -109,16 +110,52 @@ class _First(StatefulProcessor):
         pass
 
 
+def _earliest(key: str, order: list[str]):
+    """Of Arrow batches the first row of each key in this order."""
+
+    def least(parts: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(parts)
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in (key, *order)]))
+        keys = table[key].combine_chunks()
+        new = pc.not_equal(keys[1:], keys[:-1])
+        return table.filter(pa.concat_arrays([pa.array([True][: len(keys)], pa.bool_()), new]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, 1 << 16
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            n += len(batch)
+            if n > most:
+                held = [least(held)]
+                n = len(held[0])
+                most = max(most, 2 * n)
+        if n:
+            yield from least(held).to_batches()
+
+    return run
+
+
 def first_of_each(stream: DataFrame, keys: list[str], time_col: str, keep: str | None = None, delay: str = "0 seconds") -> DataFrame:
     """One row for each key: of the first batch that has any, the earliest (ties: the
     least in the order of its columns). keep: the key is forgotten once the watermark, which
     stays delay behind the latest time, is that much past that row's time; its next row is
     given again. Rows without a time go, and so do rows behind the watermark. A null key is a
-    key. Only columns that pandas can sort should be there."""
+    key. Only columns that can be sorted should be there.
+
+    Without keep, tasks first reduce a batch to a row a key, before and after a
+    shuffle, and Spark's own state (dropDuplicates, of 32 bytes a key) tells which keys are new. With
+    keep each key's rows and timer go through Python, which takes far longer for many keys."""
     rows = timed(stream, time_col)
-    rows = rows.withWatermark(time_col, delay) if keep is not None else rows
-    ms = None if keep is None else _milliseconds(keep)
-    return rows.groupBy(*keys).transformWithStateInPandas(_First(rows.columns, time_col, ms, stream.sparkSession.conf.get("spark.sql.session.timeZone")), rows.schema, "Append", "EventTime" if keep else "None")
+    if keep is None:
+        key = fresh("key", *rows.columns)
+        floats = ("float", "double")
+        equal = lambda k: F.col(f"`{k}`") + F.lit(0.0) if rows.schema[k].dataType.simpleString() in floats else F.col(f"`{k}`")  # noqa: E731  -0.0 is 0.0
+        keyed = rows.select("*", content_key(*map(equal, keys)).alias(key))
+        reduce = _earliest(key, [time_col, *(c for c in rows.columns if c != time_col)])
+        once = keyed.mapInArrow(reduce, keyed.schema).repartition(key).mapInArrow(reduce, keyed.schema)
+        return once.dropDuplicates([key]).drop(key)
+    rows = rows.withWatermark(time_col, delay)
+    return rows.groupBy(*keys).transformWithStateInPandas(_First(rows.columns, time_col, _milliseconds(keep), stream.sparkSession.conf.get("spark.sql.session.timeZone")), rows.schema, "Append", "EventTime")
 
 
 def _milliseconds(duration: str) -> int:

@@ -152,6 +152,20 @@ def test_memory_asks_once_for_a_text(spark, feed, tmp_path):
     assert Counter(asked.read_text().split("\n")[:-1]) == Counter(["", *(f"t{i}" for i in range(11))])
 
 
+def test_first_of_each_asks_python_for_no_key_alone(spark, feed, tmp_path):
+    state_store(spark)
+    out = str(tmp_path / "out")
+    rows = [(minutes(i % 50), f"u{i % 1000}", i, "") for i in range(3000)]
+    feed(rows, EVENTS)
+    feed([(minutes(0), "u7", -1, ""), (minutes(2), "new", 9, ""), (minutes(2), "new", 8, "")], EVENTS)
+    query = exactly_once(first_of_each(feed.stream(EVENTS), ["user"], "ts"), out, str(tmp_path / "check"), once=True)
+    query.awaitTermination()
+    least = {u: min((t, v) for t, w, v, _ in rows if w == u)[1] for u in {r[1] for r in rows}} | {"new": 8}
+    got = committed(spark, out, "user string, v long").collect()
+    assert len(got) == 1001 and {r.user: r.v for r in got} == least
+    assert {s["operatorName"] for p in query.recentProgress for s in p["stateOperators"]} == {"dedupe"}
+
+
 @pytest.mark.parametrize(("keep", "want"), [(None, {("a", 1), (None, 3), ("b", 70)}), ("10 minutes", {("a", 1), (None, 3), ("b", 70), ("a", 80)})])
 def test_first_of_each_and_its_timer(spark, feed, tmp_path, keep, want):
     state_store(spark)
