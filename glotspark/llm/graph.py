@@ -81,14 +81,18 @@ def tiles(members: Column, tile: int) -> Column:
 
 
 def candidates(keyed: DataFrame, tile: int) -> DataFrame:
-    """keyed: cid and key, many keys for each cid. Ties each bucket of equal keys
-    to its least member and returns, for every cid that shares a bucket: node,
+    """keyed: cid and key, some keys (of a fixed number) for each cid. Ties each bucket
+    of equal keys to its least member, and these leasts to each other where a cid ties
+    them: an edge a cid, and one for each two leasts that some cid ties, however many of
+    its keys a large group shares. Returns, for every cid that shares a bucket: node,
     root (its component), tiles (of ``tile`` members at most or so) and t (its own)."""
     rows = keyed.count()
     floor = hot_floor(rows)
     tied = keyed.groupBy("key").agg(F.min("cid").alias("m"), F.max("cid").alias("c"), F.count("*").alias("d")).filter("m < c").select(F.col("key").alias("k"), "m", "d")
     with planned_at_once(keyed.sparkSession, rows):
-        ties = checkpointed(looked_up(keyed, "key", "cid", tied, floor).filter("cid <> m").select(F.col("cid").alias("a"), F.col("m").alias("b")).distinct())
+        met = looked_up(keyed, "key", "cid", tied, floor).filter("m is not null").groupBy("cid").agg(F.min("m").alias("b"), F.collect_set("m").alias("ms"))
+        ends = F.explode(F.array_union(F.array("cid"), "ms"))
+        ties = checkpointed(met.select(ends.alias("a"), "b").filter("a <> b").distinct())
     release(keyed.sparkSession)
     found = components(ties)
     sizes = found.groupBy("root").agg(F.count("*").alias("m")).select(F.col("root").alias("k"), "m", F.col("m").alias("d"))

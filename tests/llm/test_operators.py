@@ -576,3 +576,21 @@ def test_words_are_those_of_the_pattern(texts):
     for a, b, h in zip(w.start, w.end, w.hash, strict=True):
         same[w.data[a:b].tobytes()].add(int(h))
     assert all(len(h) == 1 for h in same.values()) and len({min(h) for h in same.values()}) == len(same)
+
+
+def test_a_large_group_of_near_copies_has_one_tie_a_member(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(cid, band * 1000 + rng.choice([0, 0, 0, cid])) for cid in range(400) for band in range(31)]
+    buckets = defaultdict(set)
+    for cid, key in rows:
+        buckets[key].add(cid)
+    edges = [(min(b), x) for b in buckets.values() for x in b if len(b) > 1]
+    root = list(range(400))
+    for _ in range(10):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    ties, plain = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda found: ties.append(found.count()) or plain(found))
+    got = {r.node: r.root for r in graph.candidates(spark.createDataFrame(rows, "cid long, key long"), 2048).collect()}
+    assert got == {x: root[x] for b in buckets.values() if len(b) > 1 for x in b}
+    assert ties[0] <= 400 + 31
