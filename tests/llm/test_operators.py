@@ -594,3 +594,20 @@ def test_a_large_group_of_near_copies_has_one_tie_a_member(spark, monkeypatch):
     got = {r.node: r.root for r in graph.candidates(spark.createDataFrame(rows, "cid long, key long"), 2048).collect()}
     assert got == {x: root[x] for b in buckets.values() if len(b) > 1 for x in b}
     assert ties[0] <= 400 + 31
+
+
+def test_each_entry_of_the_index_is_read_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = []
+    for _ in range(300):
+        t = np.unique(rng.integers(0, 3000, 40))
+        w = rng.random(len(t))
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    index = toxicity.Index(np.arange(300), np.arange(300) % 2, vectors, 3000, np.arange(300))
+    read, plain = [], toxicity.ranges
+    monkeypatch.setattr(toxicity, "ranges", lambda start, n: read.append(int(n.sum())) or plain(start, n))
+    t, q = vectors[7]
+    who, cosine = index.nearest(t, q, 5)
+    exact = sorted((-round(sum(q[t == a].sum() * b for a, b in zip(*v, strict=True)), 9), i) for i, v in enumerate(vectors))[:5]
+    assert index.ids[who].tolist() == [i for _, i in exact] and np.allclose(cosine, [-c for c, _ in exact])
+    assert sum(read) <= sum(len(np.intersect1d(t, v[0])) for v in vectors)
