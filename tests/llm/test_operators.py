@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
+import pickle
 import random
+import tracemalloc
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -611,3 +615,44 @@ def test_each_entry_of_the_index_is_read_once(monkeypatch):
     exact = sorted((-round(sum(q[t == a].sum() * b for a, b in zip(*v, strict=True)), 9), i) for i, v in enumerate(vectors))[:5]
     assert index.ids[who].tolist() == [i for _, i in exact] and np.allclose(cosine, [-c for c, _ in exact])
     assert sum(read) <= sum(len(np.intersect1d(t, v[0])) for v in vectors)
+
+
+class Shared:
+    """What a Python worker has of a broadcast."""
+
+    def __init__(self, model):
+        raw = pickle.dumps(model, 5)
+        self.value = len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def large_model(n: int) -> toxicity.Model:
+    rng = np.random.default_rng(5)
+    places = [np.unique((20_000 * rng.random(400) ** 3).astype(np.int32)) for _ in range(n)]
+    counts = [rng.integers(1, 5, len(t)).astype(np.int32) for t in places]
+    return toxicity.Model(toxicity.Vocabulary(np.arange(20_000)), rng.random(20_000), [(i, i % 2, t, c, i) for i, (t, c) in enumerate(zip(places, counts, strict=True))], 0.5)
+
+
+def test_a_worker_makes_the_index_in_little_more_than_its_size():
+    model = large_model(3000)
+    tracemalloc.start()
+    index = model.index
+    now, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert index.who.nbytes > 8 * 200_000 and most < 1.4 * now
+    got = {(t, e): w for t in range(20_000) for e, w in zip(index.ids[index.who[index.first[t] : index.first[t + 1]]].tolist(), index.weight[index.first[t] : index.first[t + 1]], strict=True)}
+    for e, (t, w) in enumerate(toxicity.Vectors(model)):
+        rare = index.place[t] < 0
+        assert [got.pop((a, e)) for a in t[rare].tolist()] == w[rare].tolist()
+        assert index.dense[index.place[t[~rare]], np.flatnonzero(index.ids == e)[0]].tolist() == w[~rare].tolist()
+    assert not got
+
+
+def test_a_worker_keeps_a_model_as_long_as_its_broadcast():
+    shared = Shared(large_model(50))
+    model = toxicity.received(shared)
+    assert toxicity.received(shared) is model and len(model.at) == 0
+    model = weakref.ref(model)
+    assert model() is not None
+    del shared
+    gc.collect()
+    assert model() is None
