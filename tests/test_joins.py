@@ -153,3 +153,29 @@ def test_a_full_bin_makes_no_task_grow(spark):
     got = band_join(left, right, "x", "x", 1.0, 1.0)
     sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(sizes) == 20_000 * 1500 and max(sizes) < 0.5 * sum(sizes)
+
+
+def test_what_is_dealt_grows_with_the_rows_not_with_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(bins, "SIDE", 16)
+    monkeypatch.setattr(bins, "PAIRS", 256)
+    frames, deal = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda df, *a: frames.append(deal(df, *a)) or frames[-1])
+
+    def dealt(n):
+        frames.clear()
+        points, ranges = (spark.range(n).selectExpr(f"cast(id * {4000 // n} as double) x", "id % 3 k") for _ in range(2))
+        got = interval_join(points, ranges.selectExpr("x - 800 lo", "x + 800 hi", "k"), ("x", "x"), ("lo", "hi"))
+        assert got.count() == sum(abs(a - b) * 5 <= n for a in range(n) for b in range(n))
+        return sum(df.count() for df in frames)
+
+    small, large = dealt(250), dealt(1000)
+    assert 0 < small < large < 5 * small
+
+
+def test_pairs_in_blocks_come_in_runs(spark, tmp_path):
+    points = spark.range(4000).selectExpr("cast(id * 7919 % 4000 as double) x", "hash(id) a")
+    ranges = spark.range(4000).selectExpr("cast(id * 6007 % 4000 as double) lo", "hash(id, 1) b").withColumn("hi", F.col("lo") + 1500)
+    interval_join(points, ranges, ("x", "x"), ("lo", "hi")).select("a", "b", "x", "lo", "hi").write.parquet(str(tmp_path / "out"))
+    n = spark.read.parquet(str(tmp_path / "out")).count()
+    assert n == sum(min(lo + 1500, 3999) - lo + 1 for lo in range(4000))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.6 * n
